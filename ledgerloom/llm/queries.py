@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import conversations, encoding, segmentation, survivorship
+from . import conversations, encoding, mojibake, segmentation, survivorship
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +39,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restore_texts(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restore_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_conversations, p4_found, p4_survivors, p6_ids)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_conversations, p4_found, p4_survivors, p6_ids, p8_found, p8_restored)
 }
 
 SQL: dict[str, str] = {}
