@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import conversations, encoding, mojibake, segmentation, survivorship
+from . import conversations, encoding, mojibake, scans, segmentation, survivorship
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,14 @@ def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild(table(spark, sf_dir, "chat_messages"), table(spark, sf_dir, "chat_sessions"), keep_linked=True)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noise(table(spark, sf_dir, "parsed_items"))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair(table(spark, sf_dir, "parsed_items"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.sources(table(spark, sf_dir, "filings"))
 
@@ -48,7 +56,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_conversations, p4_found, p4_survivors, p6_ids, p8_found, p8_restored)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_conversations, p3_found, p3_repaired, p4_found, p4_survivors, p6_ids, p8_found, p8_restored)
 }
 
 SQL: dict[str, str] = {}
