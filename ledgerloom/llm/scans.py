@@ -259,7 +259,7 @@ def mended(lines: list[str], breaks: dict[int, tuple[str, str]], skip: str, mean
             out.append(line)
         if at in breaks:
             first, second = breaks[at]
-            out[-1] = re.sub(r"[\\-‐­¬]\s*$", "", out[-1]) + second
+            out[-1] = re.sub("[" + HYPHENS + r"]\s*$", "", out[-1]) + second
     text = re.sub(r"\s+", " ", " ".join(x for x in out if x)).strip()
 
     def fix(m: re.Match) -> str:
@@ -281,7 +281,7 @@ def repair(df: DataFrame) -> DataFrame:
     items stays whole in the first. A misread number keeps its reading as digits.
     """
     p = parts(df)
-    broken = p["breaks"].where("broken & second is not null and second <> ''")
+    broken = p["breaks"].where("broken and second is not null and second <> ''")
     own = broken.groupBy("item_id").agg(F.collect_list(F.struct("at", "first", "second")).alias("own"))
     taken = broken.where("second_id <> item_id").groupBy(F.col("second_id").alias("item_id")).agg(F.max("second").alias("skip"))
     token = p["body"].select("item_id", F.explode(F.flatten(F.transform("lines", words))).alias("w")).select("item_id", F.lower("w").alias("word")).distinct()
