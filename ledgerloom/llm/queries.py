@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import conversations, encoding, mojibake, scans, segmentation, survivorship
+from . import conversations, encoding, leakage, mojibake, scans, segmentation, survivorship
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", F.col("item").alias("item_id"))
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore_texts(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
@@ -56,7 +64,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_conversations, p3_found, p3_repaired, p4_found, p4_survivors, p6_ids, p8_found, p8_restored)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_conversations, p3_found, p3_repaired, p4_found, p4_survivors, p6_ids, p7_found, p7_leaks, p8_found, p8_restored)
 }
 
 SQL: dict[str, str] = {}
