@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import conversations, encoding, leakage, mojibake, scans, segmentation, survivorship
+from . import conversations, encoding, leakage, mojibake, pii, scans, segmentation, survivorship
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,16 @@ def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.survivors(table(spark, sf_dir, "filings"))
 
 
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = pii.sources(table(spark, sf_dir, "chat_messages"), table(spark, sf_dir, "chunks"))
+    return pii.redact(texts, ["src", "rec_id"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p5_redacted(spark, sf_dir).select("src", "rec_id", F.explode("entities").alias("entity"))
+    return found.where(F.col("rec_id").isNotNull()).distinct()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -64,7 +74,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_conversations, p3_found, p3_repaired, p4_found, p4_survivors, p6_ids, p7_found, p7_leaks, p8_found, p8_restored)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_conversations, p3_found, p3_repaired, p4_found, p4_survivors, p5_found, p5_redacted, p6_ids, p7_found, p7_leaks, p8_found, p8_restored)
 }
 
 SQL: dict[str, str] = {}
