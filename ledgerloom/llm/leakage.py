@@ -29,21 +29,26 @@ PASSAGE = 12
 #: Words of a window that must be words of items; a passage has this many even if three are changed.
 SHARED = 9
 #: Neighbouring words of a window that must be neighbours in an item: two words changed in twelve leave
-#: more, and so does every alignment that aligned() accepts.
-PAIRS = 5
+#: seven, and every alignment that aligned() accepts has six.
+PAIRS = 6
 #: Dimensions of the latent space, further random directions, and power iterations.
-RANK, EXTRA, POWER = 320, 16, 1
+RANK, EXTRA, POWER = 256, 16, 0
 #: Least cosine of a candidate.
 COSINE = 0.45
 #: Held-out items compared at a time; more are taken in blocks of this size.
 ITEMS = 5000
 
-WORD = re.compile(r"[^\W_]+")
+#: Characters beyond ASCII that part words; all others beyond ASCII belong to words.
+PARTING = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u20a0-\u20cf\u2190-\u2bff\u3000-\u3003\u3008-\u3020\ufe0f\ufeff\uff01-\uff0f]+")
+BLANKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-case words; punctuation, white space and markup signs part them."""
-    return WORD.findall(text.lower())
+def tokens(text: str) -> list[bytes]:
+    """Lower-case words as UTF-8; punctuation, white space and markup signs part them."""
+    low = text.lower()
+    if not low.isascii():
+        low = PARTING.sub(" ", low)
+    return low.encode("utf-8", "replace").translate(BLANKS).split()
 
 
 def aligned(a: np.ndarray | list[int], b: np.ndarray | list[int], least: int = PASSAGE) -> bool:
@@ -88,6 +93,7 @@ class Items:
         size = len(self.vocabulary)
         self.pairs = np.unique(np.array([self.vocabulary[a] * size + self.vocabulary[b] for ws in words for a, b in zip(ws, ws[1:])], np.int64))
         self.words = [np.array([self.vocabulary[w] for w in ws], np.int32) for ws in words]
+        self.own_pairs = [set((ws[:-1].astype(np.int64) * size + ws[1:]).tolist()) for ws in self.words]
         self.grams = {}
         for k, ws in enumerate(self.words):
             for s in range(len(ws) - PASSAGE + 1):
@@ -152,10 +158,23 @@ def sparse(windows: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.n
     return first, term, (weight / np.maximum(norm, 1e-12)[row]).astype(np.float32)
 
 
+#: Vocabularies up to this size are multiplied as dense blocks, which is faster there.
+DENSE = 4096
+
+
+def filled(first: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int) -> np.ndarray:
+    """The sparse rows as a dense block."""
+    out = np.zeros((len(first), terms), np.float32)
+    out[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(term)))), term] = weight
+    return out
+
+
 def times(first: np.ndarray, term: np.ndarray, weight: np.ndarray, dense: np.ndarray) -> np.ndarray:
     """Rows of the sparse matrix times a dense one."""
     if not len(term):
         return np.zeros((len(first), dense.shape[1]), np.float32)
+    if len(dense) <= DENSE:
+        return filled(first, term, weight, len(dense)) @ dense
     out = np.add.reduceat(dense[term] * weight[:, None], np.minimum(first, len(term) - 1), axis=0)
     out[np.diff(np.append(first, len(term))) == 0] = 0
     return out
@@ -165,13 +184,16 @@ def transposed(first: np.ndarray, term: np.ndarray, weight: np.ndarray, dense: n
     """Adds the transposed sparse matrix times a dense one."""
     if not len(term):
         return
+    if len(into) <= DENSE:
+        into += filled(first, term, weight, len(into)).T @ dense
+        return
     row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(term))))
     order = np.argsort(term, kind="stable")
     begin = np.flatnonzero(np.diff(term[order], prepend=-1))
     into[term[order][begin]] += np.add.reduceat(dense[row[order]] * weight[order][:, None], begin, axis=0)
 
 
-def blocks(batches: Iterator[pd.DataFrame], size: int = 2000) -> Iterator[tuple[list, list[np.ndarray]]]:
+def blocks(batches: Iterator[pd.DataFrame], size: int = 100) -> Iterator[tuple[list, list[np.ndarray]]]:
     for pdf in batches:
         for k in range(0, len(pdf), size):
             yield list(pdf["key"][k : k + size]), [np.asarray(w) for w in pdf["words"][k : k + size]]
@@ -189,7 +211,7 @@ def summed(rows: DataFrame, make, height: int, width: int) -> np.ndarray:
         for _, words in blocks(batches):
             make(windows_of(words), total)
         used = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pd.DataFrame({"row": used, "v": list(total[used])})
+        yield pd.DataFrame({"row": used, "v": pd.Series(list(total[used]), dtype=object)})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf.groupby("row")["v"].agg(lambda vs: np.sum(np.stack(list(vs)), axis=0))
@@ -239,7 +261,7 @@ def candidates_checked(rows: DataFrame, items, idf: np.ndarray, space: np.ndarra
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, q, basis = items.value, query.value, shared.value
         sets = [set(w.tolist()) for w in held.windows]
-        for keys, words in blocks(batches, 400):
+        for keys, words in blocks(batches):
             at = [(k, s) for k, w in enumerate(words) for s in starts(len(w))]
             near = unit(times(*sparse([words[k][s : s + WINDOW] for k, s in at], idf), basis)) @ q.T
             found: dict[tuple[int, int], float] = {}
@@ -257,6 +279,10 @@ def candidates_checked(rows: DataFrame, items, idf: np.ndarray, space: np.ndarra
                 if len(own[n] & sets[m]) < 7:
                     continue
                 part = words[k][max(0, s - WINDOW) : s + 2 * WINDOW]
+                # fewer neighbours in common than any alignment that counts
+                codes = np.where((part[:-1] >= 0) & (part[1:] >= 0), part[:-1].astype(np.int64) * len(idf) + part[1:], -1).tolist()
+                if sum(c in held.own_pairs[item] for c in codes) < PAIRS:
+                    continue
                 raw, size = part.tobytes(), 4 * PASSAGE
                 exact = any(item in held.grams.get(raw[4 * i : 4 * i + size], ()) for i in range(len(part) - PASSAGE + 1))
                 if exact or aligned(held.words[item].tolist(), part.tolist()):
