@@ -42,7 +42,7 @@ def links(messages: DataFrame) -> DataFrame:
     reply = messages.select(F.col("id").alias("a"), F.coalesce(*replies).alias("b")).where(F.col("b").isNotNull())
     reply = reply.join(messages.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
     quoted = F.regexp_extract("text", r"^((?:>[^\n]*(?:\n|$))+)", 1)
-    plain = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     quote = messages.select("id", quoted.alias("q")).where(F.col("q") != "").select(F.col("id").alias("a"), F.xxhash64(plain(F.regexp_replace("q", r"(?m)^>\s?", ""))).alias("h"))
     said = messages.where(F.col("text").isNotNull()).select("id", F.xxhash64(plain(F.col("text"))).alias("h"))
     said = said.join(quote.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("id").alias("b"))
