@@ -59,11 +59,11 @@ def fact_best_per_company(t: Read) -> DataFrame:
     return facts.best_facts(rows, ["collection_id", "concept"])
 
 
-@query(f"""WITH {FILINGS} SELECT g.collection_id, x.concept, count(*) AS n, round(min(x.value), 4) AS low, round(max(x.value), 4) AS high
+@query(f"""WITH {FILINGS} SELECT g.collection_id, x.concept, count(*) AS n, min(x.value) AS low, max(x.value) AS high
 FROM financial_facts x JOIN one_filing g USING (filing_id) WHERE x.dimension IS NULL AND x.concept IN ('us-gaap:Revenues', 'us-gaap:NetIncomeLoss', 'us-gaap:Assets') GROUP BY ALL""")
 def fact_filter_top_line(t: Read) -> DataFrame:
     rows = facts.top_line(facts.with_collection(t("financial_facts"), t("filings")), ["us-gaap:Revenues", "us-gaap:NetIncomeLoss", "us-gaap:Assets"])
-    return rows.groupBy("collection_id", "concept").agg(F.count("*").alias("n"), F.round(F.min("value"), 4).alias("low"), F.round(F.max("value"), 4).alias("high"))
+    return rows.groupBy("collection_id", "concept").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
 @query("SELECT * FROM financial_facts x WHERE NOT EXISTS (SELECT 1 FROM filings g WHERE g.filing_id = x.filing_id)")
@@ -267,7 +267,10 @@ def kinds_from_cover(t: Read) -> DataFrame:
     return found.groupBy(F.col("labelled").alias("doc_type"), F.col("doc_type").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {FILINGS}, c AS (SELECT collection_id, min(company) AS company FROM collections GROUP BY collection_id), f AS (SELECT g.*, c.company, regexp_replace(upper(g.filing_type), '/A$', '') AS family FROM one_filing g JOIN c USING (collection_id))
+SELECT filing_id, family AS doc_type, CASE WHEN family IN ('10-K', '10-Q', '20-F', '40-F', '11-K') THEN 'authoritative' ELSE 'indicative' END AS numeric_authority,
+concat_ws('|', coalesce(nullif(trim(regexp_replace(lower(company), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown'), coalesce(family, 'exhibit'), concat_ws(' ', nullif(fiscal_period, ''), 'FY' || fiscal_year::VARCHAR)) AS key,
+CASE WHEN family IS NULL THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS confidence, family IS NULL AS needs_review FROM f""")
 def us_identity(t: Read) -> DataFrame:
     rows = facts.one_filing_each(t("filings")).join(t("collections").groupBy("collection_id").agg(F.min("company").alias("company")), "collection_id")
     return identity.identify_us(rows).select("filing_id", "doc_type", "numeric_authority", "key", "confidence", "needs_review")

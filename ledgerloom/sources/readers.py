@@ -34,7 +34,7 @@ def notifications(messages: DataFrame, value: str = "value") -> DataFrame:
     """
     body = F.from_json(F.col(value).cast("string"), NOTIFICATION)
     rows = messages.withColumn("_m", body)
-    bad = rows.where(F.col("_m").isNull()).select(*_blank(), F.lit("not a notification").alias("error"))
+    bad = rows.where(F.get_json_object(F.col(value).cast("string"), "$").isNull()).select(*_blank(), F.lit("not a notification").alias("error"))
     each = rows.select(F.explode("_m.Records").alias("r"))
     key = F.try_url_decode("r.s3.object.key")
     good = each.select(
