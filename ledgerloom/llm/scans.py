@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Characters read for each other, and what they become in the key.
 SINGLES = ("1l|!\u2020+05896q", "iiiittosbgbg")
 WIDER = (("m", "rn"), ("w", "vv"), ("d", "ci"), ("h", "ii"), ("u", "ii"), ("k", "ic"), ("e", "c"))
@@ -213,10 +215,11 @@ def judge_breaks(breaks: DataFrame, known: DataFrame) -> DataFrame:
 
 def parts(df: DataFrame) -> dict[str, DataFrame]:
     items = pages(df)
-    found = furniture(edge_lines(items).persist()).persist()
-    known = vocabulary(df).persist()
+    # written to the shared folder: what follows then has short plans, which keeps the driver small
+    found = cut_lineage(furniture(edge_lines(items).persist()))
+    known = cut_lineage(vocabulary(df))
     body = content(items, found)
-    return {"items": items, "furniture": found, "vocabulary": known, "body": body, "breaks": judge_breaks(broken_words(body), known).persist(), "misread": misreadings(known).persist()}
+    return {"items": items, "furniture": found, "vocabulary": known, "body": body, "breaks": cut_lineage(judge_breaks(broken_words(body), known)), "misread": cut_lineage(misreadings(known))}
 
 
 def noise(df: DataFrame) -> DataFrame:
