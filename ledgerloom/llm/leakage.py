@@ -40,21 +40,28 @@ ITEMS = 5000
 
 #: Characters beyond ASCII that part words; all others beyond ASCII belong to words.
 PARTING = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u20a0-\u20cf\u2190-\u2bff\u3000-\u3003\u3008-\u3020\ufe0f\ufeff\uff01-\uff0f]+")
+#: Characters without width, which stand inside words, and marks that are no words: tags and character references.
+WIDTHLESS = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
+MARKUP = re.compile(r"</?[a-z][^<>]{0,80}>|&#?\w{2,8};")
 BLANKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def tokens(text: str) -> list[bytes]:
     """Lower-case words as UTF-8; punctuation, white space and markup signs part them."""
     low = text.lower()
-    if not low.isascii():
-        low = PARTING.sub(" ", low)
-    return low.encode("utf-8", "replace").translate(BLANKS).split()
+    if "<" in low or "&" in low:
+        low = MARKUP.sub(" ", low)
+    if low.isascii():
+        return low.encode().translate(BLANKS).split()
+    words = PARTING.sub(" ", WIDTHLESS.sub("", low)).encode("utf-8", "replace").translate(BLANKS).split()
+    # a single letter beyond ASCII is no word of an item, but what garbled punctuation leaves
+    return [w for w in words if len(w) != 2 or w[0] < 128]
 
 
 def aligned(a: np.ndarray | list[int], b: np.ndarray | list[int], least: int = PASSAGE) -> bool:
     """Whether b's words hold a passage of a's in order: a local alignment (match 1; changed,
     dropped or put-in word -1) from a match to a match that covers at least `least` words of a and
-    scores at least least - 5: twelve words with two of them changed score eight."""
+    scores at least least - 3: twelve words with one of them changed score ten, fifteen with two eleven."""
     n = len(b)
     score, start = [0] * (n + 1), [0] * (n + 1)
     for i, x in enumerate(a):
@@ -73,7 +80,7 @@ def aligned(a: np.ndarray | list[int], b: np.ndarray | list[int], least: int = P
                     s, at = 0, i + 1
             diagonal, diagonal_start = up, up_start
             score[j + 1], start[j + 1] = s, at
-            if x == b[j] and s >= least - 5 and i - at + 1 >= least:
+            if x == b[j] and s >= least - 3 and i - at + 1 >= least:
                 return True
         score[0], start[0] = 0, i + 1
     return False
