@@ -36,3 +36,13 @@ def session_list(sessions: DataFrame, limit: int = 100) -> DataFrame:
 def guarded(messages: DataFrame, text: str = "text") -> DataFrame:
     """Adds input_category and output_category: what a guard would block the text for, else null."""
     return messages.withColumns({"input_category": rules.first_rule(F.col(text), rules.INPUT_RULES), "output_category": rules.first_rule(F.col(text), rules.OUTPUT_RULES)})
+
+
+def renamed(sessions: DataFrame, id_: str, title: str) -> DataFrame:
+    """The sessions with a new title for one of them."""
+    return sessions.withColumn("title", F.when(F.col("id") == id_, F.lit(title)).otherwise(F.col("title")))
+
+
+def without_session(sessions: DataFrame, messages: DataFrame, id_: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables without a session; its messages go with it."""
+    return sessions.where(~F.col("id").eqNullSafe(F.lit(id_))), messages.where(~F.col("session_id").eqNullSafe(F.lit(id_)))

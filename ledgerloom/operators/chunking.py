@@ -190,3 +190,16 @@ def choose(candidates: DataFrame, key: str, order: tuple[str, ...] = ("structure
     """The strategy with the best score per document; the earlier one of the order wins ties. candidates: (key, strategy, score)."""
     place = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in order]), F.col("strategy")), F.lit(len(order) + 1))
     return candidates.groupBy(key).agg(F.max_by(F.struct("strategy", "score"), F.struct("score", -place)).alias("best")).select(key, "best.strategy", "best.score")
+
+
+def cohesion(sentences: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(key, cohesion): mean over chunks of two or more sentences of the mean cosine of sentence and chunk, from 0 to 1.
+
+    sentences: (key, chunk, vector); chunks: (key, chunk, vector). An average of averages, so that
+    long chunks count once.
+    """
+    from ..functions.vectors import cosine
+
+    rows = sentences.join(chunks.select("key", "chunk", F.col("vector").alias("whole")), ["key", "chunk"])
+    per = rows.groupBy("key", "chunk").agg(F.count("*").alias("n"), F.avg(cosine(F.col("vector"), F.col("whole"))).alias("mean")).where("n >= 2")
+    return per.groupBy("key").agg(F.least(F.greatest(F.avg("mean"), F.lit(0.0)), F.lit(1.0)).alias("cohesion"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import checksums, periods, rules
 from ..functions import text as tx
 from ..functions.vectors import cosine
-from ..operators import chat, chunking, evaluation, facts, identity, monitor, redaction, retrieval, sqlguard
+from ..operators import answering, chat, chunking, evaluation, facts, identity, monitor, redaction, retrieval, sqlguard
 from ..session import table
 from ..sources import readers
 from ..streaming import ingest
@@ -390,6 +390,38 @@ def answer_prompts(t: Read) -> DataFrame:
     return retrieval.numbered_sources(hits, t("documents"), "doc_id", "text")
 
 
+@query()
+def reranked(t: Read) -> DataFrame:
+    """The lexical candidates of each question, scored again."""
+    hits = retrieval.bm25(t("documents"), _asked(t), "doc_id", "text")
+    return answering.rerank(hits, _asked(t), t("documents"), "doc_id", "text")
+
+
+@query()
+def answers_verified(t: Read) -> DataFrame:
+    """Extracted answers of the questions, checked against their evidence, with a second attempt where the first fails."""
+    hits = retrieval.bm25(t("documents"), _asked(t), "doc_id", "text")
+    return answering.verified(_asked(t), lambda left, n: answering.extract(left, hits, t("documents"), "doc_id", "text", n))
+
+
+@query()
+def chunk_cohesion(t: Read) -> DataFrame:
+    """Mean cosine of sentences with their semantic chunk, per document."""
+    cut = chunking.semantic_cuts(chunking.sentence_vectors(t("documents").where("text is not null"), "doc_id", "text"))
+    parts = cut.groupBy("key", F.col("segment").alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
+    one = answering.embed(cut.select(F.struct("key", "segment", "pos").alias("id"), "sentence"), "id", "sentence")
+    whole = answering.embed(parts.select(F.struct("key", "chunk").alias("id"), "text"), "id", "text")
+    return chunking.cohesion(one.select("id.key", F.col("id.segment").alias("chunk"), "vector"), whole.select("id.key", "id.chunk", "vector"))
+
+
+@query()
+def answer_citations(t: Read) -> DataFrame:
+    """Sources that the numbered answers cite, out of their hits."""
+    hits = retrieval.bm25(t("documents"), _asked(t), "doc_id", "text")
+    answers = answering.verified(_asked(t), lambda left, n: answering.extract(left, hits, t("documents"), "doc_id", "text", n))
+    return answering.kept_citations(answers, hits)
+
+
 # ---- questions, chat, guards
 
 
