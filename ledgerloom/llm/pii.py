@@ -47,7 +47,7 @@ TRADE = {
 }
 TITLES = {"mr", "mrs", "ms", "dr", "shri", "smt", "prof"}
 
-MAIL = re.compile(r"[\w.+'-]+@[\w-]+(?:\.[\w-]+)+|[\w.+'-]+ ?(?:\(at\)|\[at\]) ?[\w-]+(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[\w-]+)+|[\w.+'-]+ at [\w-]+(?:(?:\.| dot )[\w-]+)* dot [\w-]+", re.I)
+MAIL = re.compile(r"[\w.+'-]+@[\w-]+(?:\.[\w-]+)+|[\w.+'-]+ ?@ ?[A-Z][\w-]*(?:\.[\w-]*[A-Z][\w-]*)+|[\w.+'-]+ ?(?:\(at\)|\[at\]) ?[\w-]+(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[\w-]+)+|[\w.+'-]+ at [\w-]+(?:(?:\.| dot )[\w-]+)* dot [\w-]+", re.I)
 NUMBER = re.compile(r"(?<![\w.,/#-])(?:\+|\()?\d(?:[\d ().-]{6,24})\d(?![\w%/]|[.,-]\d|:\d)(?: ?(?:ext|x|extn)\.? ?\d+)?", re.I)
 PHONE_FORM = re.compile(r"\+\d{1,3}[ -]?\(?\d[\d ().-]{6,14}|\(0?\d{2,4}\) ?\d{3,4}[ -]\d{3,4}|\d{3}([-.])\d{3}\1\d{4}|0\d{3,4} \d{5,7}|00\d{2} ?\d{8,11}|[6-9]\d{4} \d{5}|\d{3} \d{3} \d{4}")
 STRONG_PHONE = re.compile(r"\+\d|\(0?\d{2,4}\)|\d{3}([-.])\d{3}\1\d{4}|0\d{4} \d{6}|00\d{2} |[6-9]\d{4} \d{5}$")
