@@ -160,10 +160,14 @@ def furniture(edges: DataFrame) -> DataFrame:
     cand = edges.where(F.col("key").isNotNull())
     running = cand.where("ends").groupBy("doc", "key").agg(F.count_distinct("page").alias("n"), F.count_if(F.col("role") == "text").alias("texts"))
     running = running.where((F.col("n") >= 2) & (F.col("texts") > 0)).select("doc", "key")
-    # misreadings that the key does not cover: a few letters away from a header of the document
+    # misreadings that the key does not cover: a few letters away from a header of the document.
+    # Two such keys agree in their first or last letters, so only those are compared.
     exact = cand.join(running, ["doc", "key"], "left_semi").select("item_id", "at")
-    loose = cand.where("ends").join(running, ["doc", "key"], "left_anti").alias("c").join(running.alias("h"), F.col("c.doc") == F.col("h.doc"))
-    loose = loose.where((F.abs(F.char_length("c.key") - F.char_length("h.key")) <= 3) & (F.levenshtein("c.key", "h.key", 3) >= 0)).select("c.item_id", "c.at")
+    ends = F.explode(F.array(F.concat(F.lit("<"), F.left("key", F.lit(6))), F.concat(F.lit(">"), F.right("key", F.lit(6))))).alias("end")
+    other = cand.where("ends").join(running, ["doc", "key"], "left_anti").select("item_id", "at", "doc", "key", ends)
+    near = other.join(running.select("doc", F.col("key").alias("header_key"), ends), ["doc", "end"])
+    near = near.where((F.abs(F.char_length("key") - F.char_length("header_key")) <= 3) & (F.levenshtein("key", "header_key", 3) >= 0))
+    loose = near.select("item_id", "at")
     header = exact.unionByName(loose).distinct().withColumn("header", F.lit(True))
 
     numbers = edges.where(F.col("shown").isNotNull()).withColumn("shift", F.col("shown") - F.col("page"))
