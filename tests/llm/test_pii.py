@@ -23,6 +23,7 @@ def test_kinds():
     assert kinds("i'm walter d'ormelle, call 60000 00062") == ["NAME", "PHONE"]
     assert kinds("mail felix-raobhar@example.org please") == ["EMAIL"]
     assert kinds("teresa99 at quillpost dot example") == ["EMAIL"]
+    assert kinds("sent to felix.x+filings @ mailbox.example. Then") == ["EMAIL"] and kinds("Sold 490 lots @ 66.24 each") == []
     assert kinds("we live at H.No. 149/32, 11th Cross, Tannery Nagar, Suryanagar - 431999") == ["ADDRESS"]
     assert kinds("SSN 988-47-8364 on file") == ["ID"]
 
