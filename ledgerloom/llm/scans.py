@@ -28,9 +28,9 @@ HYPHENS = "\\-\u2010\u00ad\u00ac"
 STOPS = re.compile(r"[.,;:!?\"\u201d\u3002\u0964" + HYPHENS + "]$")
 EDGE = r"^[.,;:!?\"'()\[\]{}\u201c\u201d\u2018\u2019\u00ab\u00bb*_<>]+|[.,;:!?\"'()\[\]{}\u201c\u201d\u2018\u2019\u00ab\u00bb*_<>]+$"
 BETWEEN_WORDS = r"[\s\u0900-\u0dff\u3000-\u30ff\u4e00-\u9fff\uff00-\uffef\u2022]+"
-NUMBER = r"^[$\u20ac\u00a3\u20b9(-]*(?:[A-Z]-)?[0-9OoIlSsBZz|]+(?:[.,][0-9OoIlSsBZz|]+)*[%)]*$"
+NUMBER = r"^[$\u20ac\u00a3\u20b9(-]*(?:[A-Z]-)?[0-9OoIilSsBbZzgq|]+(?:[.,][0-9OoIilSsBbZzgq|]+)*[mM]?[%)]*$"
 
-DIGITS = "[0-9lIOoSsBZz|]{1,4}"
+DIGITS = "[0-9lIiOoSsBbZzgq|]{1,4}"
 PAGE = "[Pp] ?[ao] ?[gq9] ?[ec]"
 #: A printed page number alone; one group for each form, the number in it.
 FORMS = tuple(
@@ -44,7 +44,7 @@ STRONG = re.compile(rf"{PAGE}:? {DIGITS} (?:of|0f|oi|/) {DIGITS}")
 APART = re.compile(r" \| | {2}")
 ROMAN = re.compile(r"(?=.)c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 AS_ROMAN = str.maketrans("1|", "ii")
-AS_DIGITS = str.maketrans("lI|OoSsBZz", "1110055822")
+AS_DIGITS = str.maketrans("lIi|OoSsBbZzgq", "11110055862299")
 KEYS = str.maketrans(*SINGLES)
 
 
@@ -69,7 +69,7 @@ def page_number(line: str) -> int | None:
     if ROMAN.fullmatch(roman := line.strip("[]()- .").translate(AS_ROMAN)):
         return from_roman(roman)
     for form in FORMS:
-        if (m := form.fullmatch(line)) and re.search("[0-9]|^[lI|]$|[Pp]", line):
+        if (m := form.fullmatch(line)) and re.search("[0-9]|^[lI|]$", m.group(1)):
             shown = m.group(1).translate(AS_DIGITS)
             return int(shown) if shown.isdigit() else None
     return None
@@ -238,7 +238,7 @@ def noise(df: DataFrame) -> DataFrame:
     broken = p["breaks"].where("broken")
     hyphen = broken.select("item_id", F.lit("hyphen").alias("kind"))
     token = p["items"].select("item_id", F.explode(F.flatten(F.transform("lines", words))).alias("w")).where(F.col("w") != "").distinct()
-    digits = token.where(F.col("w").rlike(NUMBER) & F.col("w").rlike("[0-9]") & F.col("w").rlike("[OoIlSsBZz|]"))
+    digits = token.where(F.col("w").rlike(NUMBER) & F.col("w").rlike("[0-9]") & F.col("w").rlike("[OoIilSsBbZzgq|]"))
     digits = digits.withColumn("word", F.lower("w")).join(p["vocabulary"].where("clean > 0").select("word"), "word", "left_anti")
     lettered = token.select("item_id", F.lower("w").alias("word")).join(p["misread"].select("word"), "word", "left_semi")
     halves = broken.where(F.col("meant").isNotNull())
