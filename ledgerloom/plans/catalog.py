@@ -236,8 +236,9 @@ def chunking_gate(t: Read) -> DataFrame:
 @query(f"""SELECT doc_id, CASE WHEN length({SPACED.format('text')}) > 60 THEN rtrim(left({SPACED.format('text')}, 60)) || '…' ELSE {SPACED.format('text')} END AS title FROM documents
 WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
 def auto_titles(t: Read) -> DataFrame:
-    rows = t("documents").where("text is not null").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return rows.select("doc_id", tx.shortened(F.col("text"), 60).alias("title"))
+    """A title for every text, in any script. The SQL covers the texts of ASCII characters alone."""
+    rows = t("documents").where("text is not null")
+    return rows.select("doc_id", tx.shortened(F.regexp_replace("text", tx.WIDE_SPACE, " "), 60).alias("title"))
 
 
 # ---- identity
