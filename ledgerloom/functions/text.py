@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z\"'(])"
+#: The word boundary, with letters, digits and underscores of ASCII as words; engines differ in \b beyond ASCII.
+ASCII_WORD_END = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 #: White space beyond ASCII, as in Python's split().
 WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 

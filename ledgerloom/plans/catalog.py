@@ -498,8 +498,10 @@ def numeric_grounding(t: Read) -> DataFrame:
 
 @query(f"""WITH {MESSAGES} SELECT id, len(regexp_extract_all(text, '{redaction.FORMS["EMAIL"]}')) AS n FROM one_message WHERE regexp_matches(text, '{redaction.FORMS["EMAIL"]}') AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
 def email_counts(t: Read) -> DataFrame:
-    m = chat.one_message_each(t("chat_messages")).where(F.col("text").rlike("@") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return m.select("id", F.size(F.regexp_extract_all("text", F.lit("(" + redaction.FORMS["EMAIL"] + ")"), 1)).alias("n")).where("n > 0")
+    """Mail addresses of each message, with word ends as in ASCII whatever the script. The SQL covers the messages of ASCII characters alone."""
+    m = chat.one_message_each(t("chat_messages")).where(F.col("text").contains("@"))
+    form = redaction.FORMS["EMAIL"].replace(r"\b", tx.ASCII_WORD_END)
+    return m.select("id", F.size(F.regexp_extract_all("text", F.lit(f"({form})"), 1)).alias("n")).where("n > 0")
 
 
 @query()

@@ -1,3 +1,6 @@
+import re
+
+from ledgerloom.operators import redaction
 from ledgerloom.plans import catalog
 
 
@@ -13,3 +16,14 @@ def test_titles_in_any_script(spark, tmp_path):
     out = {r.doc_id: r.title for r in run(spark, tmp_path, "auto_titles", documents=(list(enumerate(texts)), "doc_id bigint, text string"))}
     bare = [" ".join(t.split()) for t in texts if t is not None]
     assert out == {k: t if len(t) <= 60 else t[:60].rstrip() + "…" for k, t in enumerate(bare)}
+
+
+MESSAGES = "id string, session_id string, role string, text string, meta string, created_at timestamp"
+
+
+def test_mail_addresses_beside_any_script(spark, tmp_path):
+    texts = {"a": "to a.b@c.com", "b": "“café” a@b.com, c@d.org", "c": "x\u00a0a@b.com\u00a0y", "d": "é.x@y.com", "e": "éx@y.de", "f": "写a@b.comへ", "g": "naïve", "h": None, "i": "a@b é", "j": "a@b.comé", "k": "-x@y.com_"}
+    rows = [(k, "s", "user", t, None, None) for k, t in texts.items()]
+    out = {r.id: r.n for r in run(spark, tmp_path, "email_counts", chat_messages=(rows, MESSAGES))}
+    form = re.compile(redaction.FORMS["EMAIL"], re.ASCII)
+    assert out == {k: n for k, t in texts.items() if t and (n := len(form.findall(t)))} and out["b"] == 2 and out["f"] == 1
