@@ -59,6 +59,9 @@ FORMATS = {
     "application/pdf": "pdf", "image/png": "image", "image/jpeg": "image", "image/tiff": "image", "image/bmp": "image", "image/webp": "image", "image/gif": "image",
     "text/html": "html", "application/xhtml+xml": "html", "application/xml": "xml", "text/xml": "xml", "text/plain": "text",
 }
+# Wordings of the two sides of a chat.
+USER = ("user", "usr", "human", "customer", "client", "person", "me", "end user", "end-user", "enduser", "questioner", "prompter")
+ASSISTANT = ("assistant", "asst", "ai", "bot", "model", "chatbot", "machine", "agent", "gpt", "llm", "ai assistant", "ai-assistant", "chat bot")
 INLINE_XBRL, INSTANCE, LINKBASE = "http://www.xbrl.org/2013/inlinexbrl", "http://www.xbrl.org/2003/instance", "http://www.xbrl.org/2003/linkbase"
 
 
@@ -67,6 +70,12 @@ def first_rule(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return F.coalesce(*[F.when(text.rlike("(?i)" + p), F.lit(c)) for c, p in rules])
 
 
+def side(role: Column) -> Column:
+    """user, assistant, or null for any other role."""
+    r = F.lower(F.regexp_replace(role, r"^[\s\x{A0}:]+|[\s\x{A0}:]+$", ""))
+    return F.when(r.isin(*USER), "user").when(r.isin(*ASSISTANT), "assistant")
+
+
 def verdict(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     """Struct of allowed, category and reason."""
     c = first_rule(text, rules)

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions import text as tx
+
+#: Parts that the numbers of one session are spread over.
+SALTS = 16
 
 
 def one_message_each(messages: DataFrame) -> DataFrame:
@@ -46,3 +50,30 @@ def renamed(sessions: DataFrame, id_: str, title: str) -> DataFrame:
 def without_session(sessions: DataFrame, messages: DataFrame, id_: str) -> tuple[DataFrame, DataFrame]:
     """Both tables without a session; its messages go with it."""
     return sessions.where(~F.col("id").eqNullSafe(F.lit(id_))), messages.where(~F.col("session_id").eqNullSafe(F.lit(id_)))
+
+
+def numeric_grounding(messages: DataFrame) -> DataFrame:
+    """(id, figures, grounding): for each reply of a session with questions, the number of its figures and the
+    share of them that stand verbatim in a question of the session; 1 if it has none.
+
+    A figure lies within one run of digits and marks, so the runs' stretches that are as long as some figure
+    of the session are joined with the figures; no session is gathered, nor a question compared with a reply.
+    """
+    m = one_message_each(messages).where("text is not null and session_id is not null").withColumn("side", rules.side(F.col("role")))
+    asked = m.where("side = 'user'")
+    replies = m.where("side = 'assistant'").join(asked.select("session_id").distinct(), "session_id", "left_semi")
+    replies = replies.select("id", "session_id", tx.figures(F.col("text")).alias("nums"))
+    said = replies.select("id", "session_id", F.explode("nums").alias("figure"))
+    figures = said.select("session_id", "figure").distinct()
+    # a session's few lengths go to each of its salts
+    size = F.char_length("figure").alias("size")
+    sizes = figures.select("session_id", size).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    runs = asked.select("session_id", F.explode(F.regexp_extract_all("text", F.lit("([0-9][0-9,.]*)"), 1)).alias("run"))
+    runs = runs.distinct().withColumn("salt", F.pmod(F.xxhash64("run"), F.lit(SALTS)).cast("int"))
+    long_enough = runs.join(sizes, ["session_id", "salt"]).where(F.char_length("run") >= F.col("size"))
+    starts = F.explode(F.sequence(F.lit(1), F.char_length("run") - F.col("size") + 1))
+    stretches = long_enough.withColumn("at", starts).select("session_id", F.col("run").substr(F.col("at"), F.col("size")).alias("figure"))
+    stood = figures.join(stretches.distinct(), ["session_id", "figure"], "left_semi").withColumn("stood", F.lit(1))
+    share = F.round(F.count("stood") / F.count("figure"), 6).alias("grounding")
+    out = said.join(stood, ["session_id", "figure"], "left").groupBy("id").agg(F.count("figure").cast("int").alias("figures"), share)
+    return out.unionByName(replies.where(F.size("nums") == 0).select("id", F.lit(0).alias("figures"), F.lit(1.0).alias("grounding")))

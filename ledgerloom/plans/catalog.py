@@ -488,12 +488,8 @@ def citation_marks(t: Read) -> DataFrame:
 a AS (SELECT m.id, regexp_extract_all(regexp_replace(m.text, '\\[\\d+\\]', ' ', 'g'), '(\\d[\\d,]*(?:\\.\\d+)?)', 1) AS nums, s.evidence FROM one_message m JOIN s USING (session_id) WHERE lower(trim(m.role)) = 'assistant' AND m.text IS NOT NULL)
 SELECT id, len(nums) AS figures, round(CASE WHEN len(nums) = 0 THEN 1.0 ELSE len(list_filter(nums, lambda x: contains(evidence, x))) / len(nums) END, 6) AS grounding FROM a""")
 def numeric_grounding(t: Read) -> DataFrame:
-    """How far the figures of replies stand in the questions of their session."""
-    m = chat.one_message_each(t("chat_messages")).where("text is not null").withColumn("side", F.lower(F.trim("role")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), " ")
-    said = m.where("side = 'user'").groupBy("session_id").agg(joined.alias("evidence"))
-    rows = m.where("side = 'assistant'").join(said, "session_id")
-    return rows.select("id", F.size(tx.figures(F.col("text"))).alias("figures"), F.round(tx.grounding(F.col("text"), F.col("evidence")), 6).alias("grounding"))
+    """How far the figures of replies stand in the questions of their session. The SQL knows the roles user and assistant alone."""
+    return chat.numeric_grounding(t("chat_messages"))
 
 
 @query(f"""WITH {MESSAGES} SELECT id, len(regexp_extract_all(text, '{redaction.FORMS["EMAIL"]}')) AS n FROM one_message WHERE regexp_matches(text, '{redaction.FORMS["EMAIL"]}') AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""")

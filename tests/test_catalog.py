@@ -1,6 +1,11 @@
+import random
 import re
 
-from ledgerloom.operators import redaction
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import rules
+from ledgerloom.llm import conversations
+from ledgerloom.operators import chat, redaction
 from ledgerloom.plans import catalog
 
 
@@ -27,3 +32,29 @@ def test_mail_addresses_beside_any_script(spark, tmp_path):
     out = {r.id: r.n for r in run(spark, tmp_path, "email_counts", chat_messages=(rows, MESSAGES))}
     form = re.compile(redaction.FORMS["EMAIL"], re.ASCII)
     assert out == {k: n for k, t in texts.items() if t and (n := len(form.findall(t)))} and out["b"] == 2 and out["f"] == 1
+
+
+def test_grounding_without_the_text_of_a_session(spark, tmp_path):
+    dice = random.Random(7)
+    number = lambda: dice.choice(["7", "42", "4,250", "4,250.75", "2024", "1,", "0.5", "12.", "9" * 40, "1.2.3", "3,1.4"])
+    roles = {"user": "user", " Human ": "user", "usr": "user", "assistant": "assistant", "AI": "assistant", "bot:": "assistant", "model": "assistant", "system": None, None: None}
+    rows = [(f"m{k}", dice.choice(["s", "s", "t", "u", None]), dice.choice(list(roles)), "x" + dice.choice([" ", "", "é", "-"]).join(number() for _ in range(dice.randint(0, 4))) + dice.choice(["", " [1]", "[12]3"]), None, None) for k in range(80)]
+    rows += [("n", "v", "bot", "5", None, None), ("q", "w", "human", None, None, None), ("r", "w", "ai", "5", None, None), ("v1", "z", "human", "cost 1,500", None, None), ("v2", "z", "bot", "500 or 15", None, None), ("v3", "z", "ai", "none", None, None)]
+    rows += [rows[0]]
+    got = run(spark, tmp_path, "numeric_grounding", chat_messages=(rows, MESSAGES))
+    want = {}
+    for k, s, role, text, *_ in rows:
+        said = [t for _, s2, r2, t, *_ in rows if s and s2 == s and roles.get(r2, "user" if r2 == "human" else "assistant") == "user" and t is not None]
+        if said and roles.get(role, "user" if role == "human" else "assistant") == "assistant":
+            nums = re.findall(r"[0-9][0-9,]*(?:\.[0-9]+)?", re.sub(r"\[[0-9]+\]", " ", text))
+            want[k] = (len(nums), round(sum(any(n in t for t in said) for n in nums) / len(nums), 6) if nums else 1.0)
+    assert {r.id: (r.figures, r.grounding) for r in got} == want and len(got) == len(want)
+    assert want["v2"] == (2, 0.5) and want["v3"] == (0, 1.0) and "n" not in want and "r" not in want
+    df = spark.read.parquet(f"{tmp_path}/chat_messages.parquet")
+    assert "collect_" not in chat.numeric_grounding(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_roles_of_the_core_and_of_conversations(spark):
+    words = [*conversations.USER, *conversations.ASSISTANT, " Human:", "\u00a0AI ", "system", "", None]
+    df = spark.createDataFrame([(w,) for w in words], "r string")
+    assert all(r.a == r.b for r in df.select(rules.side(F.col("r")).alias("a"), conversations.side(F.col("r")).alias("b")).collect())
