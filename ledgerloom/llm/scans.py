@@ -161,12 +161,21 @@ def furniture(edges: DataFrame) -> DataFrame:
     running = cand.where("ends").groupBy("doc", "key").agg(F.count_distinct("page").alias("n"), F.count_if(F.col("role") == "text").alias("texts"))
     running = running.where((F.col("n") >= 2) & (F.col("texts") > 0)).select("doc", "key")
     # misreadings that the key does not cover: a few letters away from a header of the document.
-    # Two such keys agree in their first or last letters, so only those are compared.
+    # Three edits leave one of a header's four pieces whole, moved by three places at most, so lines are
+    # joined on that piece; they are cut for the lengths of their document's headers alone.
     exact = cand.join(running, ["doc", "key"], "left_semi").select("item_id", "at")
-    ends = F.explode(F.array(F.concat(F.lit("<"), F.left("key", F.lit(6))), F.concat(F.lit(">"), F.right("key", F.lit(6))))).alias("end")
-    other = cand.where("ends").join(running, ["doc", "key"], "left_anti").select("item_id", "at", "doc", "key", ends)
-    near = other.join(running.select("doc", F.col("key").alias("header_key"), ends), ["doc", "end"])
-    near = near.where((F.abs(F.char_length("key") - F.char_length("header_key")) <= 3) & (F.levenshtein("key", "header_key", 3) >= 0))
+    other = cand.where("ends").join(running, ["doc", "key"], "left_anti").select("item_id", "at", "doc", "key")
+    size, lengths = F.col("size"), running.select("doc", F.char_length("key").alias("size")).distinct()
+    fourth = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("part")
+    start = lambda part: F.floor(part * size / 4).cast("int")
+    long = start(F.col("part") + 1) - start(F.col("part"))
+    pieces = running.select("doc", F.col("key").alias("header_key"), F.char_length("key").alias("size"), fourth)
+    pieces = pieces.withColumn("piece", F.col("header_key").substr(start(F.col("part")) + 1, long))
+    cut = other.select("doc", "key").distinct().join(lengths, "doc").where(F.abs(F.char_length("key") - size) <= 3).select("doc", "key", "size", fourth)
+    cut = cut.withColumn("from", F.explode(F.sequence(start(F.col("part")) - 2, start(F.col("part")) + 4))).where("from >= 1")
+    cut = cut.select("doc", "key", "size", "part", F.col("key").substr(F.col("from"), long).alias("piece")).distinct()
+    near = cut.join(pieces, ["doc", "size", "part", "piece"]).where(F.levenshtein("key", "header_key", 3) >= 0)
+    near = other.join(near.select("doc", "key").distinct(), ["doc", "key"], "left_semi")
     loose = near.select("item_id", "at")
     header = exact.unionByName(loose).distinct().withColumn("header", F.lit(True))
 

@@ -1,3 +1,5 @@
+import random
+
 from ledgerloom.llm import scans
 
 SCHEMA = "item_id bigint, source_doc_id string, seq int, role string, text string, level int, page int, key string, doc string"
@@ -42,3 +44,35 @@ def test_empty(spark):
 def test_page_numbers():
     shown = {"[42]": 42, "- 7 -": 7, "(3)": 3, "Page 4 of 9": 4, "2l | P a g e": 21, "F-l8": 18, "xvi": 16, "12": 12, "42.0%": None, "in 2016.": None, "FY2016": None}
     assert {k: scans.page_number(k) for k in shown} == shown
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for n, x in enumerate(a, 1):
+        before, row[0] = row[0], n
+        for k, y in enumerate(b, 1):
+            before, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_near_headers_against_brute_force(spark):
+    dice = random.Random(3)
+
+    def edited(key, n):
+        for _ in range(n):
+            at = dice.randrange(len(key) + 1)
+            key = key[:at] + dice.choice(["", "x", "é"]) + key[at + dice.randint(0, 1) :]
+        return key
+
+    headers = {"d": ["acmefoodsannualreport", "shorthead", "abcdef", "ab"], "e": ["acmefoodsannualreport", "quitedifferenthere"]}
+    rows = [(k, doc, k % 5, h) for doc, hs in headers.items() for k, h in enumerate(hs * 3, 1000 if doc == "d" else 2000)]
+    rows += [(1, "d", 1, "acxefoodsannualrexort"), (2, "d", 2, "shoxthead"), (3, "d", 3, "shrtxheadx")]
+    rows += [(10 + k, doc, 1, f"{edited(h, dice.randint(1, 6))}") for k, (doc, h) in enumerate((d, h) for d, hs in headers.items() for h in hs * 25)]
+    df = spark.createDataFrame([(i, doc, page, "text", 0, None, False, True, key) for i, doc, page, key in rows], "item_id bigint, doc string, page int, role string, at int, shown int, strong boolean, ends boolean, key string")
+    got = {r.item_id for r in scans.furniture(df).collect() if r.header}
+    seen = {}
+    for i, doc, page, key in rows:
+        seen.setdefault((doc, key), set()).add(page)
+    running = [dk for dk, pages in seen.items() if len(pages) >= 2]
+    want = {i for i, doc, page, key in rows if any(doc == d and distance(key, h) <= 3 for d, h in running)}
+    assert got == want and {1, 2, 3} <= got < {i for i, *_ in rows}
