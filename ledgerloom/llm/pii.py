@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,7 @@ CAP = r"[A-Z][\w'’]*(?:-[A-Z]\w+)?"
 TITLED = r"\b(?:Mr|Mrs|Ms|Dr|Shri|Smt|Prof)\.? "
 EVIDENT = rf"(?:{TITLED}|\b[Mm]y name is |\b[Ss]igned by:? |/s/ |\b[Aa]ttn:? |(?:[Rr]egards|[Ss]incerely),\s+)({CAP}(?: [A-Z]\.)? {CAP}|{CAP}, {CAP})"
 NAMED = re.compile(EVIDENT)
+BOX, PARTS, WORD = re.compile(r"([\w.-]+)(?:\+[\w.-]*)?@"), re.compile(r"[._\d-]+"), re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 MAIL = re.compile(r"[\w.+'-]+@[\w-]+(?:\.[\w-]+)+|[\w.+'-]+ ?@ ?[A-Z][\w-]*(?:\.[\w-]*[A-Z][\w-]*)+|[\w.+'-]+ ?(?:\(at\)|\[at\]) ?[\w-]+(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[\w-]+)+|[\w.+'-]+ at [\w-]+(?:(?:\.| dot )[\w-]+)* dot [\w-]+", re.I)
 NUMBER = re.compile(r"(?<![\w.,/#-])(?:\+|\()?\d(?:[\d ().-]{6,24})\d(?![\w%/]|[.,-]\d|:\d)(?: ?(?:ext|x|extn)\.? ?\d+)?", re.I)
@@ -599,23 +601,42 @@ def replaced(text: str, found: list[tuple[int, int, int]]) -> str:
 
 
 def counted(texts: DataFrame) -> DataFrame:
-    """(key, n, low, given, surname, mail): each word's uses, those in lower case, and those as part of an evident name."""
-    key = lambda c: F.regexp_replace(F.lower(c), "['’]s$|['’-]", "")
-    bare = F.regexp_replace("text", r"\S+@\S+", " ")
-    raw = texts.select(F.explode(F.split(bare, r"[^\p{L}'’-]+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    uses = raw.groupBy(key(F.col("w")).alias("key")).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("w").rlike(r"^\p{Ll}"), F.col("n"))), F.lit(0)).alias("low"))
-    boxes = F.regexp_extract_all("text", F.lit(r"([\w.-]+)(?:\+[\w.-]*)?@"), 1)
-    parts = F.flatten(F.transform(boxes, lambda m: F.split(m, r"[._\d-]+")))
-    mailed = texts.where(F.col("text").contains("@")).select(F.explode(parts).alias("w"), F.lit("mail").alias("kind"))
-    full = texts.select(F.explode(F.regexp_extract_all("text", F.lit(EVIDENT), 1)).alias("full"))
-    comma, words = F.col("full").contains(","), F.split("full", ",? ")
-    ends = F.struct(F.get(words, F.lit(0)).alias("a"), F.element_at(words, -1).alias("b"))
-    full = full.select(comma.alias("comma"), ends.alias("e"))
-    given = full.select(F.when(F.col("comma"), F.col("e.b")).otherwise(F.col("e.a")).alias("w"), F.lit("given").alias("kind"))
-    surname = full.select(F.when(F.col("comma"), F.col("e.a")).otherwise(F.col("e.b")).alias("w"), F.lit("surname").alias("kind"))
-    kinds = ("given", "surname", "mail")
-    evident = mailed.unionByName(given).unionByName(surname).groupBy(key(F.col("w")).alias("key")).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
-    return uses.join(evident, "key", "left").where(F.char_length("key") > 0)
+    """(key, n, low, given, surname, mail): each word's uses, those in lower case, and those as part of an
+    evident name. One pass; a task adds up what its rows hold before anything is shuffled."""
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, parts = Counter(), Counter()
+
+        def rows() -> pd.DataFrame:
+            held: dict[str, list[int]] = {}
+            for w, n in words.items():
+                row = held.setdefault(letters(w), [0, 0, 0, 0, 0])
+                row[0] += n
+                row[1] += n * w[0].islower()
+            for (w, kind), n in parts.items():
+                if key := letters(w):
+                    held.setdefault(key, [0, 0, 0, 0, 0])[kind] += n
+            words.clear()
+            parts.clear()
+            return pd.DataFrame([(k, *v) for k, v in held.items() if k], columns=["key", "n", "low", "given", "surname", "mail"])
+
+        for pdf in batches:
+            for t in pdf["text"]:
+                if "@" in t:
+                    for box in BOX.findall(t):
+                        parts.update((w, 4) for w in PARTS.split(box))
+                    t = re.sub(r"\S+@\S+", " ", t)
+                words.update(WORD.findall(t))
+                for full in NAMED.findall(t):
+                    ends = re.split(",? ", full)
+                    given, surname = (ends[-1], ends[0]) if "," in full else (ends[0], ends[-1])
+                    parts.update([(given, 2), (surname, 3)])
+            if len(words) > 300_000:
+                yield rows()
+        yield rows()
+
+    sums = texts.select("text").mapInPandas(tally, "key string, n bigint, low bigint, given bigint, surname bigint, mail bigint").groupBy("key")
+    return sums.agg(*[F.sum(c).alias(c) for c in ("n", "low", "given", "surname", "mail")]).where("n > 0")
 
 
 def learn(texts: DataFrame) -> Model:
@@ -632,14 +653,15 @@ def learn(texts: DataFrame) -> Model:
         least = max(1, 0.1 * max(r.given, r.surname))
         bits = (r.given >= least) + 2 * (r.surname >= least) + 4 * (r.mail > 0)
         lexicon[r.key] = (bits, int(10 * r.low / r.n), False)
-    hint = F.col("text").rlike(rf"@|{EVIDENT}|\d{{3,5}}\)?[ -]\d{{3,6}}")
-    hashed = texts.select("text", F.xxhash64("text").alias("h")).distinct()
-    pool = [hashed.where(c).orderBy("h", "text").limit(POOL // 2).select("text") for c in (hint, ~hint)]
+    # rows are taken by hash, about POOL of them, equal ones once
+    n = texts.count()
+    pool = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < -(-1_000_000 * POOL // max(n, POOL))).select("text").distinct()
     busy, plain = [], []
-    for r in pool[0].unionByName(pool[1]).collect():
+    for r in sorted(pool.collect()):
         held = any(lexicon.get(letters(w), (0,))[0] for w in TOKEN.findall(r.text)) or LONG_NUMBER.search(r.text)
         (busy if held else plain).append(r.text)
-    sample = busy[: SAMPLE * 2 // 3] + busy[SAMPLE * 2 // 3 :][-(SAMPLE // 3) :] + plain[:PLAIN]
+    order = lambda t: zlib.crc32(t.encode("utf-8", "replace"))
+    sample = sorted(busy, key=order)[:SAMPLE] + sorted(plain, key=order)[:PLAIN]
     return fit(sample, lexicon)
 
 

@@ -44,8 +44,9 @@ def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = pii.sources(table(spark, sf_dir, "chat_messages"), table(spark, sf_dir, "chunks"))
-    return pii.redact(texts, ["src", "rec_id"])
+    messages, chunks = table(spark, sf_dir, "chat_messages"), table(spark, sf_dir, "chunks")
+    every = messages.select("text").unionByName(chunks.select("text")).where("text is not null")
+    return pii.redact(pii.sources(messages, chunks), ["src", "rec_id"], model=pii.learn(every))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
