@@ -1,12 +1,15 @@
-"""Evaluation texts leaking into a corpus: latent semantic retrieval with an exact check.
+"""Evaluation texts leaking into a corpus: latent semantic retrieval with checks of the wording.
 
 Passages (windows of words) of the corpus become TF-IDF vectors over the vocabulary of the held-out
 items. A randomised SVD, whose products with the passage matrix Spark sums over all partitions, gives
-a latent space. Windows of the items are searched for by cosine among the passages, and an
-alignment of the words in order decides whether a document holds a passage of an item.
-
-A passage whose words are mostly outside the items' vocabulary cannot hold a passage of an item; only
-the stretches that can are carried on, as word numbers.
+a latent space; it is fitted on the items' windows and a bounded sample of passages, while the frequencies
+cover all of them. Every passage is projected and compared with every window of the items by
+cosine. A candidate is a leak if an alignment of its words holds a passage of the item, or if the two
+windows' longest common subsequence is that long, however many words are put in between, and the
+item's figures stand beside it.
+
+Only passages with too few words of the items' vocabulary to hold a passage are left out before the
+search; no pair of neighbouring words need be shared.
 """
 
 from __future__ import annotations
@@ -28,21 +31,22 @@ WINDOW, STRIDE = 20, 8
 PASSAGE = 12
 #: Words of a window that must be words of items; a passage has this many even if three are changed.
 SHARED = 9
-#: Neighbouring words of a window that must be neighbours in an item: two words changed in twelve leave
-#: seven, and every alignment that aligned() accepts has six.
-PAIRS = 6
+#: Words that the two windows of a candidate share at least, whatever their order.
+COMMON = 7
 #: Dimensions of the latent space, further random directions, and power iterations.
-RANK, EXTRA, POWER = 256, 16, 0
+RANK, EXTRA, POWER = 160, 16, 1
+#: Passages of the sample on which the space is fitted (taken by hash of the document), about.
+FITTED = 100_000
 #: Least cosine of a candidate.
-COSINE = 0.45
-#: Held-out items compared at a time; more are taken in blocks of this size.
-ITEMS = 5000
+COSINE = 0.5
+#: Held-out items of one pass over the corpus, and windows of theirs compared at a time.
+ITEMS, AT_ONCE = 50_000, 8192
 
 #: Characters beyond ASCII that part words; all others beyond ASCII belong to words.
 PARTING = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u20a0-\u20cf\u2190-\u2bff\u3000-\u3003\u3008-\u3020\ufe0f\ufeff\uff01-\uff0f]+")
-#: Characters without width, which stand inside words, and marks that are no words: tags and character references.
+#: Characters without width, which stand inside words, and marks that are no words: tags of any length and character references.
 WIDTHLESS = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
-MARKUP = re.compile(r"</?[a-z][^<>]{0,80}>|&#?\w{2,8};")
+MARKUP = re.compile(r"</?[a-z](?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*>|&#?\w{2,8};")
 BLANKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -58,32 +62,46 @@ def tokens(text: str) -> list[bytes]:
     return [w for w in words if len(w) != 2 or w[0] < 128]
 
 
-def aligned(a: np.ndarray | list[int], b: np.ndarray | list[int], least: int = PASSAGE) -> bool:
-    """Whether b's words hold a passage of a's in order: a local alignment (match 1; changed,
+def aligned(a: np.ndarray, b: np.ndarray, least: int = PASSAGE) -> np.ndarray:
+    """For each row whether b's words hold a passage of a's in order: a local alignment (match 1; changed,
     dropped or put-in word -1) from a match to a match that covers at least `least` words of a and
-    scores at least least - 3: twelve words with one of them changed score ten, fifteen with two eleven."""
-    n = len(b)
-    score, start = [0] * (n + 1), [0] * (n + 1)
-    for i, x in enumerate(a):
-        diagonal, diagonal_start = 0, i
+    scores at least least - 3: twelve words with one of them changed score ten, fifteen with two eleven.
+    Rows are padded with numbers that differ on both sides."""
+    rows, n = b.shape
+    score, start = [np.zeros(rows, np.int32)] * (n + 1), [np.zeros(rows, np.int32)] * (n + 1)
+    found = np.zeros(rows, bool)
+    for i in range(a.shape[1]):
+        hit = (a[:, i, None] == b).T
+        diagonal, diagonal_start = np.zeros(rows, np.int32), np.full(rows, i, np.int32)
+        left, left_start = np.zeros(rows, np.int32), np.full(rows, i + 1, np.int32)
         for j in range(n):
             up, up_start = score[j + 1], start[j + 1]
-            if x == b[j] and x >= 0:
-                s, at = diagonal + 1, diagonal_start if diagonal else i
-            else:
-                s, at = diagonal - 1, diagonal_start
-                if up - 1 > s:
-                    s, at = up - 1, up_start
-                if score[j] - 1 > s:
-                    s, at = score[j] - 1, start[j]
-                if s <= 0:
-                    s, at = 0, i + 1
+            same = hit[j]
+            here = np.where(same, diagonal + 1, diagonal - 1)
+            at = np.where(same & (diagonal == 0), i, diagonal_start)
+            better = ~same & (up - 1 > here)
+            here, at = np.where(better, up - 1, here), np.where(better, up_start, at)
+            better = ~same & (left - 1 > here)
+            here, at = np.where(better, left - 1, here), np.where(better, left_start, at)
+            none = ~same & (here <= 0)
+            here, at = np.where(none, 0, here), np.where(none, i + 1, at)
             diagonal, diagonal_start = up, up_start
-            score[j + 1], start[j + 1] = s, at
-            if x == b[j] and s >= least - 3 and i - at + 1 >= least:
-                return True
-        score[0], start[0] = 0, i + 1
-    return False
+            score[j + 1], start[j + 1] = left, left_start = here, at
+            found |= same & (here >= least - 3) & (i - at + 1 >= least)
+    return found
+
+
+def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each row of a and b."""
+    long = [np.zeros(len(b), np.int32)] * (b.shape[1] + 1)
+    for i in range(a.shape[1]):
+        hit = (a[:, i, None] == b).T
+        diagonal = long[0]
+        for j in range(b.shape[1]):
+            up = long[j + 1]
+            long[j + 1] = np.maximum(np.where(hit[j], diagonal + 1, up), long[j])
+            diagonal = up
+    return long[-1]
 
 
 def starts(n: int) -> np.ndarray:
@@ -97,24 +115,32 @@ class Items:
         words = [tokens(t) for _, t in rows]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in words for w in ws}))}
         self.ids = [i for i, _ in rows]
-        size = len(self.vocabulary)
-        self.pairs = np.unique(np.array([self.vocabulary[a] * size + self.vocabulary[b] for ws in words for a, b in zip(ws, ws[1:])], np.int64))
         self.words = [np.array([self.vocabulary[w] for w in ws], np.int32) for ws in words]
-        self.own_pairs = [set((ws[:-1].astype(np.int64) * size + ws[1:]).tolist()) for ws in self.words]
-        self.grams = {}
-        for k, ws in enumerate(self.words):
-            for s in range(len(ws) - PASSAGE + 1):
-                self.grams.setdefault(ws[s : s + PASSAGE].tobytes(), set()).add(k)
+        figure = np.array([w.isdigit() for w in sorted(self.vocabulary)] + [False])
         spans = [(k, s) for k, ws in enumerate(self.words) if len(ws) >= PASSAGE for s in starts(len(ws))]
         self.window_item = np.array([k for k, _ in spans], np.int32)
         self.windows = [self.words[k][s : s + WINDOW] for k, s in spans]
+        # the windows alone and with what stands around them; -2 beyond the item
+        self.alone = padded([self.words[k] for k, _ in spans], [s for _, s in spans], 0, WINDOW, -2)
+        self.around = padded([self.words[k] for k, _ in spans], [s for _, s in spans], WINDOW, 3 * WINDOW, -2)
+        self.figures = [np.unique(w[figure[w]]) for w in self.windows]
+
+
+def padded(words: list[np.ndarray], at: list[int], before: int, size: int, other: int) -> np.ndarray:
+    """Rows of `size` words of each text from `before` words ahead of a place; `other` beyond the text."""
+    out = np.full((len(words), size), other, np.int32)
+    for row, (w, s) in enumerate(zip(words, at)):
+        lo = max(0, s - before)
+        part = w[lo : s - before + size]
+        out[row, lo - (s - before) : lo - (s - before) + len(part)] = part
+    return out
 
 
 def stretches(df: DataFrame, items, key: str, text: str) -> DataFrame:
     """(key, words): the stretches of each text whose windows can hold a passage; -1 is any other word."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, pairs, size = items.value.vocabulary.get, items.value.pairs, len(items.value.vocabulary)
+        get = items.value.vocabulary.get
         for batch in batches:
             keys, out = [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -125,13 +151,7 @@ def stretches(df: DataFrame, items, key: str, text: str) -> DataFrame:
                 at = starts(len(numbers))
                 sums = np.concatenate(([0], np.cumsum(numbers >= 0)))
                 able = sums[np.minimum(at + WINDOW, len(numbers))] - sums[at] >= SHARED
-                if not able.any():
-                    continue
-                both = (numbers[:-1] >= 0) & (numbers[1:] >= 0)
-                code = np.where(both, numbers[:-1].astype(np.int64) * size + numbers[1:], -1)
-                hit = pairs[np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)] == code
-                sums = np.concatenate(([0], np.cumsum(hit)))
-                able = at[able & (sums[np.minimum(at + WINDOW - 1, len(hit))] - sums[np.minimum(at, len(hit))] >= PAIRS)]
+                able = at[able]
                 if len(able):
                     cuts = np.flatnonzero(np.diff(able) > WINDOW) + 1
                     for part in np.split(able, cuts):
@@ -200,7 +220,7 @@ def transposed(first: np.ndarray, term: np.ndarray, weight: np.ndarray, dense: n
     into[term[order][begin]] += np.add.reduceat(dense[row[order]] * weight[order][:, None], begin, axis=0)
 
 
-def blocks(batches: Iterator[pd.DataFrame], size: int = 100) -> Iterator[tuple[list, list[np.ndarray]]]:
+def blocks(batches: Iterator[pd.DataFrame], size: int = 200) -> Iterator[tuple[list, list[np.ndarray]]]:
     for pdf in batches:
         for k in range(0, len(pdf), size):
             yield list(pdf["key"][k : k + size]), [np.asarray(w) for w in pdf["words"][k : k + size]]
@@ -231,27 +251,35 @@ def summed(rows: DataFrame, make, height: int, width: int) -> np.ndarray:
     return total
 
 
-def latent_space(rows: DataFrame, idf: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Right singular vectors (vocabulary x rank) of the passage matrix by randomised SVD."""
+def latent_space(rows: DataFrame, windows: list[np.ndarray], passages: int, idf: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Right singular vectors (vocabulary x rank) of the passages' and the items' windows by randomised SVD.
+
+    rows: the sample, of so many passages; the items' windows weigh as much as all of them together.
+    """
     terms = len(idf)
     width = min(RANK + EXTRA, terms)
     context = rows.sparkSession.sparkContext
+    own = sparse(windows, idf)
+    weight = passages / len(windows)
     base = np.random.default_rng(seed).standard_normal((terms, width)).astype(np.float32)
     for _ in range(1 + POWER):
         shared = context.broadcast(base)
 
-        def through(windows, into, shared=shared):
-            x = sparse(windows, idf)
+        def through(block, into, shared=shared):
+            x = sparse(block, idf)
             transposed(*x, times(*x, shared.value), into)
 
-        base = np.linalg.qr(summed(rows, through, terms, width))[0].astype(np.float32)
+        total, items = summed(rows, through, terms, width), np.zeros((terms, width), np.float32)
+        transposed(*own, times(*own, base), items)
+        base = np.linalg.qr(total + weight * items)[0].astype(np.float32)
     shared = context.broadcast(base)
 
-    def gram(windows, into):
-        y = times(*sparse(windows, idf), shared.value)
+    def gram(block, into):
+        y = times(*sparse(block, idf), shared.value)
         into += y.T @ y
 
-    _, vectors = np.linalg.eigh(summed(rows, gram, width, width))
+    y = times(*own, base)
+    _, vectors = np.linalg.eigh(summed(rows, gram, width, width) + weight * (y.T @ y))
     return (base @ vectors[:, ::-1][:, :RANK]).astype(np.float32)
 
 
@@ -259,42 +287,60 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def likely(held: Items, item_window: np.ndarray, words: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Candidates (window of an item; text and place of a passage) that share enough words in the same order."""
+    alone = padded(words, at, 0, WINDOW, -1)
+    some = np.flatnonzero((held.alone[item_window][:, :, None] == alone[:, None, :]).any(axis=2).sum(axis=1) >= COMMON)
+    return some[common(held.alone[item_window[some]], alone[some]) >= COMMON] if len(some) else some
+
+
+def checked(held: Items, item_window: np.ndarray, words: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Which candidates hold a passage of the item."""
+    hold = aligned(held.around[item_window], padded(words, at, WINDOW, 3 * WINDOW, -1))
+    # paraphrases: as many words of the item in its order, and all figures of its window near by
+    wide = padded(words, at, WINDOW // 2, 2 * WINDOW, -1)
+    for k in np.flatnonzero(~hold & (common(held.alone[item_window], wide) >= PASSAGE)):
+        hold[k] = np.isin(held.figures[item_window[k]], wide[k]).all()
+    return hold
+
+
 def candidates_checked(rows: DataFrame, items, idf: np.ndarray, space: np.ndarray) -> DataFrame:
-    """(key, item, cosine) of the stretches that hold a passage."""
+    """(key, item, cosine) of the stretches that hold a passage: every passage against every window of the items."""
     context = rows.sparkSession.sparkContext
-    query = context.broadcast(unit(times(*sparse(items.value.windows, idf), space)).astype(np.float32)) if items.value.windows else None
+    query = context.broadcast(unit(times(*sparse(items.value.windows, idf), space)).astype(np.float32))
     shared = context.broadcast(space)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, q, basis = items.value, query.value, shared.value
-        sets = [set(w.tolist()) for w in held.windows]
+        waiting: list[tuple] = []
+
+        def judged() -> pd.DataFrame:
+            found: dict[tuple, float] = {}
+            if waiting:
+                keys, words, at, windows, near = zip(*waiting)
+                windows = np.array(windows)
+                good = checked(held, windows, words, np.array(at))
+                for k in np.flatnonzero(good):
+                    pair = keys[k], held.ids[held.window_item[windows[k]]]
+                    found[pair] = max(found.get(pair, 0.0), near[k])
+            waiting.clear()
+            return pd.DataFrame([(*pair, c) for pair, c in found.items()], columns=["key", "item", "cosine"])
+
         for keys, words in blocks(batches):
-            at = [(k, s) for k, w in enumerate(words) for s in starts(len(w))]
-            near = unit(times(*sparse([words[k][s : s + WINDOW] for k, s in at], idf), basis)) @ q.T
-            found: dict[tuple[int, int], float] = {}
-            own: dict[int, set[int]] = {}
-            for n, m in zip(*np.nonzero(near >= COSINE)):
-                k, s = at[n]
-                item = int(held.window_item[m])
-                cosine = float(near[n, m])
-                if (k, item) in found:
-                    found[k, item] = max(found[k, item], cosine)
-                    continue
-                if n not in own:
-                    own[n] = set(words[k][s : s + WINDOW].tolist())
-                # fewer words in common than any passage that lies in both windows has
-                if len(own[n] & sets[m]) < 7:
-                    continue
-                part = words[k][max(0, s - WINDOW) : s + 2 * WINDOW]
-                # fewer neighbours in common than any alignment that counts
-                codes = np.where((part[:-1] >= 0) & (part[1:] >= 0), part[:-1].astype(np.int64) * len(idf) + part[1:], -1).tolist()
-                if sum(c in held.own_pairs[item] for c in codes) < PAIRS:
-                    continue
-                raw, size = part.tobytes(), 4 * PASSAGE
-                exact = any(item in held.grams.get(raw[4 * i : 4 * i + size], ()) for i in range(len(part) - PASSAGE + 1))
-                if exact or aligned(held.words[item].tolist(), part.tolist()):
-                    found[k, item] = cosine
-            yield pd.DataFrame([(keys[k], held.ids[i], c) for (k, i), c in found.items()], columns=["key", "item", "cosine"])
+            text = np.repeat(np.arange(len(words)), [len(starts(len(w))) for w in words])
+            place = np.concatenate([starts(len(w)) for w in words])
+            passages = unit(times(*sparse([words[k][s : s + WINDOW] for k, s in zip(text, place)], idf), basis)).astype(np.float32)
+            for lo in range(0, len(q), AT_ONCE):
+                near = passages @ q[lo : lo + AT_ONCE].T
+                n, m = np.nonzero(near >= COSINE)
+                for part in range(0, len(n), 20_000):
+                    some_n, some_m = n[part : part + 20_000], m[part : part + 20_000]
+                    for k in likely(held, some_m + lo, [words[k] for k in text[some_n]], place[some_n]):
+                        a, b = some_n[k], some_m[k]
+                        waiting.append((keys[text[a]], words[text[a]], int(place[a]), int(b) + lo, float(near[a, b])))
+            if len(waiting) >= 5000:
+                yield judged()
+        yield judged()
 
     return rows.mapInPandas(search, f"key {rows.schema['key'].dataType.simpleString()}, item bigint, cosine double")
 
@@ -304,7 +350,8 @@ def find_leaks(df: DataFrame, held_out: DataFrame, key: str = "doc_id", text: st
 
     Null, empty and short texts hold nothing; items of under 12 words have no passage; rows that
     come twice count once, a key with several texts counts for all of them; empty tables give an
-    empty table. The held-out items are read in blocks of a fixed size, which alone is broadcast.
+    empty table. One pass over the corpus serves ITEMS held-out items, which alone are broadcast; more are
+    taken in groups of that size.
     """
     spark = df.sparkSession
     held = held_out.select(F.col(item_key).cast("bigint").alias("item"), F.col(item_text).alias("t")).where("item is not null and t is not null").distinct()
@@ -322,14 +369,18 @@ def find_leaks(df: DataFrame, held_out: DataFrame, key: str = "doc_id", text: st
         terms = len(block.vocabulary)
 
         def frequency(windows, into):
-            for w in windows:
-                into[np.unique(w[w >= 0]), 0] += 1
+            seen = np.sort(padded(windows, [0] * len(windows), 0, WINDOW, -1), axis=1)
+            first = (seen >= 0) & (np.diff(seen, axis=1, prepend=-1) != 0)
+            into[:, 0] += np.bincount(seen[first], minlength=len(into))
             into[0, 1] += len(windows)
 
         counts = summed(regions, frequency, terms, 2)
-        idf = np.log((1 + counts[:, 1].sum()) / (1 + counts[:, 0])).astype(np.float32)
-        idf = np.maximum(idf, 0.05).astype(np.float32)
-        space = latent_space(regions, idf)
+        passages = int(counts[:, 1].sum())
+        frequency(block.windows, counts)
+        idf = np.maximum(np.log((1 + counts[0, 1]) / (1 + counts[:, 0])), 0.05).astype(np.float32)
+        share = min(1.0, FITTED / max(passages, 1))
+        sample = regions.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * share))
+        space = latent_space(sample, block.windows, max(int(passages * share), 1), idf)
         hits = candidates_checked(regions, items, idf, space)
         out = hits if out is None else out.unionByName(hits)
     if out is None:

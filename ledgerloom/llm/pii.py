@@ -87,9 +87,9 @@ HOUSE = re.compile(r"(?<!\w)(?:H\.? ?No\.?|House No\.?|Flat|Plot|Door No\.?)\s*\
 LONG_NUMBER = re.compile(r"\d[\d ().-]{6,}\d|[A-Za-z]\d{4,}")
 
 #: Words that a text must hold for a format to be looked for.
-HINTS = ({"@", "at"}, {r.lower() for r in ROAD[3:-1].split("|")}, {"h", "house", "flat", "plot", "door"})
+HINTS = ({"@", "dot"}, {r.lower() for r in ROAD[3:-1].split("|")}, {"h", "house", "flat", "plot", "door"})
 #: Columns of a spelling's flags.
-BLANK, ALPHA, JOINS, DIGITS = 9, 10, 11, 12
+BLANK, ALPHA, JOINS, DIGITS, AT = 9, 10, 11, 12, 13
 #: Places of the weights: spellings are hashed, the other features have a place for each value.
 HASHED = 1 << 15
 FORMATS = ("mail", "address", "phone", "phone_cue", "id_named", "id_shape", "id_void")
@@ -212,7 +212,7 @@ class Spellings:
         self.own.append([at(0, ""), at(1, shape), at(2, f"{shape}{lower}"), at(3, f"{bits}{shape[:1]}"), at(4, key[-3:] if alpha else shape), at(5, word)])
         self.around.append([[at(10 + 2 * k, word), at(11 + 2 * k, f"{bits}{shape[:1]}{lower >= 5}")] for k in range(4)])
         common = lower >= 5
-        self.flags.append((bits, alpha and w[0].isupper() and len(w) > 1, alpha and len(w) == 1, w == ".", alpha and w[0].islower() and not common, frequent and not bits, common, w in STOPS, sum(1 << k for k, h in enumerate(HINTS) if w.lower() in h), w.isspace() and w != "\n", alpha, w in JOINING, w[:1].isdigit()))
+        self.flags.append((bits, alpha and w[0].isupper() and len(w) > 1, alpha and len(w) == 1, w == ".", alpha and w[0].islower() and not common, frequent and not bits, common, w in STOPS, sum(1 << k for k, h in enumerate(HINTS) if w.lower() in h), w.isspace() and w != "\n", alpha, w in JOINING, w[:1].isdigit(), w.lower() == "at"))
         self.keys.append(key)
         self.of[w] = len(self.keys) - 1
         return self.of[w]
@@ -253,6 +253,13 @@ class Tokens:
         if n:
             np.bitwise_or.at(hints, self.text, spellings.arrays[2][self.word, 8])
             hints |= self.long_numbers(spellings, len(texts))
+            at = np.flatnonzero(spellings.arrays[2][self.word, AT])
+            opening = [spellings.of.get("(", -1), spellings.of.get("[", -1)]
+            hints[self.text[at[np.isin(self.word[np.maximum(at - 1, 0)], opening)]]] |= 1
+            # streets and houses have numbers
+            digits = np.zeros(len(texts), bool)
+            digits[self.text[spellings.arrays[2][self.word, DIGITS] > 0]] = True
+            hints[~digits] &= 1
         value = {"strong": 2, "plain": 3}
         for k in np.flatnonzero(hints):
             lo, hi = self.first[k], self.first[k + 1]
@@ -280,7 +287,7 @@ class Tokens:
         return out
 
     def see(self, spellings: Spellings) -> None:
-        n, flags = self.n, spellings.arrays[2] if spellings.arrays else np.zeros((1, 13), np.int8)
+        n, flags = self.n, spellings.arrays[2] if spellings.arrays else np.zeros((1, 14), np.int8)
         bits, cap, single, dot, lower, known, common, stop = flags[self.word].T[:8] if n else np.zeros((8, 0), np.int8)
         same = np.zeros(n, bool)
         same[1:] = (self.text[1:] == self.text[:-1]) & (self.begin[1:] - self.end[:-1] <= 1)

@@ -15,12 +15,112 @@ def filler(n):
     return [random.choice(["the", "of", "rose", "fell", "w1", "w2", "board", "met"]) for _ in range(n)]
 
 
+def holds(a, b):
+    return bool(leak.aligned(leak.np.array([a]), leak.np.array([b]))[0])
+
+
 def test_alignment():
     a = list(range(40))
-    assert leak.aligned(a, [99, *range(5, 17), 98])
-    assert leak.aligned(a, [*range(5, 10), 99, *range(11, 15), 98, *range(16, 20)])
-    assert leak.aligned(a, [*range(5, 10), *range(11, 18)]) and leak.aligned(a, [*range(5, 10), 99, *range(10, 17)])
-    assert not leak.aligned(a, [99, *range(5, 13), 98, 97, 96]) and not leak.aligned(a, list(range(30, 5, -1)))
+    assert holds(a, [99, *range(5, 17), 98])
+    assert holds(a, [*range(5, 10), 99, *range(11, 15), 98, *range(16, 20)])
+    assert holds(a, [*range(5, 10), *range(11, 18)]) and holds(a, [*range(5, 10), 99, *range(10, 17)])
+    assert not holds(a, [99, *range(5, 13), 98, 97, 96]) and not holds(a, list(range(30, 5, -1)))
+
+
+def local(a, b, least=12):
+    """The alignment cell by cell, with plain lists."""
+    score, start = [0] * (len(b) + 1), [0] * (len(b) + 1)
+    for i, x in enumerate(a):
+        before, came = 0, i
+        score[0], start[0] = 0, i + 1
+        for j, y in enumerate(b):
+            up, up_start = score[j + 1], start[j + 1]
+            if x == y:
+                s, at = before + 1, came if before else i
+                if s >= least - 3 and i - at + 1 >= least:
+                    return True
+            else:
+                s, at = max([(before - 1, -0, came), (up - 1, -1, up_start), (score[j] - 1, -2, start[j])], key=lambda o: (o[0], o[1]))[::2]
+                if s <= 0:
+                    s, at = 0, i + 1
+            before, came = up, up_start
+            score[j + 1], start[j + 1] = s, at
+    return False
+
+
+def test_alignment_and_subsequence_against_brute_force():
+    dice = random.Random(2)
+    a = [[dice.randrange(9) for _ in range(30)] for _ in range(300)]
+    b = []
+    for row in a:
+        own = row[dice.randrange(12) :][: dice.randrange(9, 20)]
+        for _ in range(dice.randrange(5)):
+            at = dice.randrange(len(own))
+            own[at : at + dice.randrange(2)] = [dice.randrange(9)] * dice.randrange(2)
+        b.append(([dice.randrange(20, 40) for _ in range(5)] + own + [dice.randrange(20, 40) for _ in range(30)])[:30])
+    got = leak.aligned(leak.np.array(a), leak.np.array(b))
+    assert list(got) == [local(x, y) for x, y in zip(a, b)] and 0 < got.sum() < 300
+
+    def subsequence(x, y):
+        row = [0] * (len(y) + 1)
+        for p in x:
+            row = [0] + [max(row[j] + 1 if p == q else 0, row[j + 1]) for j, q in enumerate(y)]
+            for j in range(len(y)):
+                row[j + 1] = max(row[j + 1], row[j])
+        return row[-1]
+
+    assert list(leak.common(leak.np.array(a), leak.np.array(b))) == [subsequence(x, y) for x, y in zip(a, b)]
+
+
+def pairs_shared(item, words):
+    own = ITEMS[item][1].split()
+    return len(set(zip(own, own[1:])) & set(zip(words, words[1:])))
+
+
+def test_paraphrases_without_shared_pairs(spark):
+    """A word put in after each word of the item: no two neighbours of the item stay neighbours."""
+    docs, truth = [], set()
+    for d in range(60):
+        words = filler(60)
+        if d % 3 == 0:
+            item = d % 30
+            put = [w for p in passage(item, 8, 20) for w in (p, random.choice(["surely", "indeed", "perhaps", "also", "then"]))]
+            words[20:20] = put
+            assert pairs_shared(item, put) < 6
+            truth.add((d, item))
+        elif d % 3 == 1:
+            words[20:20] = [w for p in passage(d % 30, 8, 8) for w in (p, "indeed")]
+        docs.append((d, " ".join(words)))
+    held = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    got = {(r.doc_id, r.item) for r in leak.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), held).collect()}
+    assert got == truth
+
+
+def test_figures_of_the_item_must_stand_by(spark):
+    item = [f"v{k}" for k in range(7)] + ["1189", "4021"] + [f"v{k}" for k in range(7, 18)]
+    put = lambda ws: " ".join(w for p in ws for w in (p, "indeed"))
+    wrong = [w if not w.isdigit() else "77" for w in item]
+    docs = [(1, put(item)), (2, put(wrong)), (3, " ".join(wrong))]
+    held = spark.createDataFrame([*ITEMS, (90, " ".join(item))], "item_id bigint, text string")
+    got = {(r.doc_id, r.item) for r in leak.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), held).collect()}
+    assert got == {(1, 90), (3, 90)}
+
+
+def test_long_tags_part_no_passage(spark):
+    words = passage(3, 0, 14)
+    tag = '<a class="' + "x " * 200 + '" href="https://example.org/' + "p" * 100 + '">'
+    assert len(tag) > 300 and leak.tokens(f"one {tag} two &amp; three < four") == [b"one", b"two", b"three", b"four"]
+    held = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, " ".join([*words[:7], tag, *words[7:]]))], "doc_id bigint, text string")
+    assert [(r.doc_id, r.item) for r in leak.find_leaks(docs, held).collect()] == [(1, 3)]
+
+
+def test_items_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(leak, "ITEMS", 7)
+    monkeypatch.setattr(leak, "AT_ONCE", 5)
+    docs = spark.createDataFrame([(k, " ".join(passage(k, 4, 15))) for k in range(30)], "doc_id bigint, text string")
+    held = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    assert {(r.doc_id, r.item) for r in leak.find_leaks(docs, held).collect()} == {(k, k) for k in range(30)}
 
 
 def test_planted_passages(spark):
