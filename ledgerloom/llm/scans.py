@@ -9,10 +9,11 @@ vocabulary of the whole corpus.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -24,13 +25,15 @@ WIDER = (("m", "rn"), ("w", "vv"), ("d", "ci"), ("h", "ii"), ("u", "ii"), ("k",
 RATIO = 8
 #: How often the other word must occur at least.
 KNOWN = 5
+#: A header has so many letters at least; items of a document that are ordered in one task.
+LETTERS, BLOCK = 3, 256
 HYPHENS = "\\-\u2010\u00ad\u00ac"
 STOPS = re.compile(r"[.,;:!?\"\u201d\u3002\u0964" + HYPHENS + "]$")
 EDGE = r"^[.,;:!?\"'()\[\]{}\u201c\u201d\u2018\u2019\u00ab\u00bb*_<>]+|[.,;:!?\"'()\[\]{}\u201c\u201d\u2018\u2019\u00ab\u00bb*_<>]+$"
 BETWEEN_WORDS = r"[\s\u0900-\u0dff\u3000-\u30ff\u4e00-\u9fff\uff00-\uffef\u2022]+"
 NUMBER = r"^[$\u20ac\u00a3\u20b9(-]*(?:[A-Z]-)?[0-9OoIilSsBbZzgq|]+(?:[.,][0-9OoIilSsBbZzgq|]+)*[mM]?[%)]*$"
 
-DIGITS = "[0-9lIiOoSsBbZzgq|]{1,4}"
+DIGITS = "[0-9lIiOoSsBbZzgq|]{1,9}"
 PAGE = "[Pp] ?[ao] ?[gq9] ?[ec]"
 #: A printed page number alone; one group for each form, the number in it.
 FORMS = tuple(
@@ -64,8 +67,6 @@ def from_roman(text: str) -> int:
 
 def page_number(line: str) -> int | None:
     """The number that a line shows if it consists of a printed page number."""
-    if len(line) > 40:
-        return None
     if ROMAN.fullmatch(roman := line.strip("[]()- .").translate(AS_ROMAN)):
         return from_roman(roman)
     for form in FORMS:
@@ -81,13 +82,12 @@ def look(line: str) -> tuple[str, int | None, bool]:
     n = page_number(flat.replace("  ", " "))
     if n is not None:
         return flat, n, False
-    if len(flat) <= 160:
-        for m in APART.finditer(flat):
-            left, right = flat[: m.start()].strip(), flat[m.end() :].strip()
-            if re.search(r"[^\W\d_]{2}", left) and (n := page_number(right)) is not None:
-                return left, n, True
-            if re.search(r"[^\W\d_]{2}", right) and (n := page_number(left)) is not None:
-                return right, n, True
+    for m in APART.finditer(flat):
+        left, right = flat[: m.start()].strip(), flat[m.end() :].strip()
+        if re.search(r"[^\W\d_]{2}", left) and (n := page_number(right)) is not None:
+            return left, n, True
+        if re.search(r"[^\W\d_]{2}", right) and (n := page_number(left)) is not None:
+            return right, n, True
     return flat, None, False
 
 
@@ -99,23 +99,51 @@ def key_of(text: str) -> str:
     return k
 
 
+BROKEN = re.compile(r"((?:[^\W_]|[|\u2020-])+)([" + HYPHENS + r"])\s*$")
+FIRST = re.compile(r"\s*((?:[^\W_]|[|\u2020])+)")
+SPLIT, STRIP = re.compile(BETWEEN_WORDS), re.compile(EDGE)
+
+
+def words_of(text: str) -> list[str]:
+    """Words without punctuation at their ends; scripts without blanks part words."""
+    return [w for raw in SPLIT.split(text) if (w := STRIP.sub("", raw))]
+
+
+def paged(df: DataFrame) -> DataFrame:
+    return df.where(F.col("page").isNotNull() & F.col("text").isNotNull() & F.col("item_id").isNotNull())
+
+
 def pages(df: DataFrame) -> DataFrame:
-    """One row per item with a page and text: the rows that come twice are one item."""
-    rows = df.where(F.col("page").isNotNull() & F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    picked = rows.groupBy("item_id").agg(F.min(F.struct("source_doc_id", "seq", "role", "page", "text")).alias("r"))
+    """One row per item with a page and text, as lines: the rows that come twice are one item."""
+    picked = paged(df).groupBy("item_id").agg(F.min(F.struct("source_doc_id", "seq", "role", "page", "text")).alias("r"))
     return picked.select("item_id", F.col("r.source_doc_id").alias("doc"), "r.seq", F.coalesce("r.role", F.lit("text")).alias("role"), F.col("r.page").cast("int").alias("page"), F.split(F.regexp_replace("r.text", r"\r\n?", "\n"), "\n").alias("lines"))
 
 
-def words(text: Column) -> Column:
-    """Lower-case words without punctuation at their ends."""
-    return F.transform(F.split(text, BETWEEN_WORDS), lambda w: F.regexp_replace(w, EDGE, ""))
+def vocabulary(df: DataFrame) -> DataFrame:
+    """(word, n, clean): occurrences in all items, and in items without a page, which are no scans.
 
+    A task adds up the words of its rows before anything is shuffled.
+    """
 
-def vocabulary(df: DataFrame) -> DataFrame:
-    """(word, n, clean): occurrences in all items, and in items without a page, which are no scans."""
-    every = df.select(F.explode(words(F.col("text"))).alias("w"), F.col("page").isNull().cast("int").alias("clean"))
-    every = every.where(F.char_length("w").between(1, 40)).groupBy(F.lower("w").alias("word"))
-    return every.agg(F.count("*").alias("n"), F.sum("clean").alias("clean"))
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())  # scans, others
+
+        def rows() -> pd.DataFrame:
+            scans, clean = counts
+            out = pd.DataFrame([(w, n, 0) for w, n in scans.items()] + [(w, n, n) for w, n in clean.items()], columns=["word", "n", "clean"])
+            scans.clear()
+            clean.clear()
+            return out
+
+        for pdf in batches:
+            for text, clean in zip(pdf["text"], pdf["clean"]):
+                counts[clean].update(words_of(text.lower()))
+            if len(counts[0]) + len(counts[1]) > 300_000:
+                yield rows()
+        yield rows()
+
+    every = df.where(F.col("text").isNotNull()).select("text", F.col("page").isNull().cast("int").alias("clean"))
+    return every.mapInPandas(tally, "word string, n bigint, clean bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
 
 
 def misreadings(known: DataFrame) -> DataFrame:
@@ -130,82 +158,137 @@ def misreadings(known: DataFrame) -> DataFrame:
     return both.select("word", F.col("top.word").alias("meant"), F.col("n").alias("times"))
 
 
-def edge_lines(items: DataFrame) -> DataFrame:
-    """The first and last two lines of each item that is no title or table: what they may be."""
+def edges_of(lines: list[str]) -> list[tuple]:
+    """(at, shown, strong, ends, key) of the lines at an item's edges that may be headers or page numbers.
 
-    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The two outermost lines are looked at, and further ones inwards as long as lines end for themselves
+    or show a page number.
+    """
+    n = len(lines)
+    out: dict[int, tuple] = {}
+
+    def seen(at: int) -> bool:
+        if at not in looked:
+            body, shown, joined = look(lines[at])
+            follows = at + 1 < n and lines[at + 1][:1].islower()
+            # a header ends without punctuation; a line that goes on in lower case is one only if it is known from elsewhere
+            able = bool(body) and (joined or shown is None) and len(re.sub(r"[\W\d_]", "", body)) >= LETTERS and not STOPS.search(body)
+            ends = joined or at == n - 1 or not follows
+            looked[at] = shown is not None or able and ends or not body
+            if body and (able or shown is not None):
+                out[at] = (at, shown, bool(STRONG.search(lines[at])) or shown is not None and n == 1 and body[:1] in "[(", ends, key_of(body) if able else None)
+        return looked[at]
+
+    looked: dict[int, bool] = {}
+    for order in (range(n), range(n - 1, -1, -1)):
+        for depth, at in enumerate(order):
+            if not seen(at) and depth > 0:
+                break
+    return [out[at] for at in sorted(out)]
+
+
+def read(df: DataFrame) -> DataFrame:
+    """(item_id, doc, seq, page, role, edges, breaks, starts) of each item with a page, once: its edge lines, the
+    lines that end in a broken word, and the first word of each of its lines (of the outer ones alone
+    where no word is broken)."""
+
+    def look_at(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for item, doc, page, role, lines in zip(pdf["item_id"], pdf["doc"], pdf["page"], pdf["role"], pdf["lines"]):
-                n = len(lines)
-                for at in sorted({0, 1, n - 2, n - 1} & set(range(n))):
-                    body, shown, joined = look(lines[at])
-                    if not body:
-                        continue
-                    follows = at + 1 < n and lines[at + 1][:1].islower()
-                    # a header ends without punctuation; a line that goes on in lower case is one only if it is known from elsewhere
-                    able = (joined or shown is None) and len(re.sub(r"[\W\d_]", "", body)) >= 6 and len(body) <= 120 and not STOPS.search(body)
-                    if able or shown is not None:
-                        rows.append((item, doc, page, role, at, shown, bool(STRONG.search(lines[at])) or shown is not None and n == 1 and body[:1] in "[(", joined or at == n - 1 or not follows, key_of(body) if able else None))
-            out = pd.DataFrame(rows, columns=["item_id", "doc", "page", "role", "at", "shown", "strong", "ends", "key"])
-            yield out.astype({"shown": "Int32", "page": "Int32"})
-
-    some = items.where(~F.col("role").isin("title", "table")).select("item_id", "doc", "page", "role", "lines")
-    kind = items.schema["item_id"].dataType.simpleString()
-    return some.mapInPandas(edges, f"item_id {kind}, doc string, page int, role string, at int, shown int, strong boolean, ends boolean, key string")
+            for role, text in zip(pdf["role"], pdf["text"]):
+                lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+                edges = edges_of(lines) if role not in ("title", "table") else []
+                breaks = []
+                if role != "table":
+                    for at, line in enumerate(lines):
+                        if (m := BROKEN.search(line)) and re.search(r"[^\W\d_]", m.group(1)):
+                            breaks.append((at, m.group(1), m.group(2)))
+                # lines that may go are at the edges: without a broken word only the first ones that may stay matter
+                upto = len(lines) if breaks else min(len(lines), max((e[0] for e in edges), default=-1) + 2)
+                starts = [m.group(1) if (m := FIRST.match(x)) else None if not x.strip() else "" for x in lines[:upto]]
+                rows.append((edges, breaks, starts, len(lines)))
+            made = pd.DataFrame(rows, columns=["edges", "breaks", "starts", "size"], index=pdf.index)
+            yield pdf[["item_id", "doc", "seq", "page", "role", "mark"]].join(made)
+
+    kind = df.schema["item_id"].dataType.simpleString()
+    rows = paged(df).select("item_id", F.col("source_doc_id").alias("doc"), F.col("seq").cast("int").alias("seq"), F.col("page").cast("int").alias("page"), F.coalesce("role", F.lit("text")).alias("role"), F.xxhash64("text").alias("mark"), "text")
+    edge = "array<struct<at: int, shown: int, strong: boolean, ends: boolean, key: string>>"
+    made = rows.mapInPandas(look_at, f"item_id {kind}, doc string, seq int, page int, role string, mark bigint, edges {edge}, breaks array<struct<at: int, first: string, mark: string>>, starts array<string>, size int")
+    cols = ["doc", "seq", "role", "page", "mark", "edges", "breaks", "starts", "size"]
+    return made.groupBy("item_id").agg(F.min(F.struct(*cols)).alias("r")).select("item_id", "r.*")
 
 
 def furniture(edges: DataFrame) -> DataFrame:
     """(item_id, at, header, pageno) of the edge lines that are running headers or page numbers."""
     cand = edges.where(F.col("key").isNotNull())
-    running = cand.where("ends").groupBy("doc", "key").agg(F.count_distinct("page").alias("n"), F.count_if(F.col("role") == "text").alias("texts"))
-    running = running.where((F.col("n") >= 2) & (F.col("texts") > 0)).select("doc", "key")
+    # what is said of each different line of a document; copies are many, different lines few
+    every = cand.groupBy("doc", "key").agg(F.count_distinct(F.when(F.col("ends"), F.col("page"))).alias("n"), F.count_if(F.col("ends") & (F.col("role") == "text")).alias("texts"), F.max("ends").alias("ends"))
+    every = cut_lineage(every.select("doc", "key", ((F.col("n") >= 2) & (F.col("texts") > 0)).alias("running"), "ends"))
+    running = every.where("running").select("doc", "key")
     # misreadings that the key does not cover: a few letters away from a header of the document.
     # Three edits leave one of a header's four pieces whole, moved by three places at most, so lines are
     # joined on that piece; they are cut for the lengths of their document's headers alone.
-    exact = cand.join(running, ["doc", "key"], "left_semi").select("item_id", "at")
-    other = cand.where("ends").join(running, ["doc", "key"], "left_anti").select("item_id", "at", "doc", "key")
+    other = every.where("ends and not running").select("doc", "key")
     size, lengths = F.col("size"), running.select("doc", F.char_length("key").alias("size")).distinct()
     fourth = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("part")
     start = lambda part: F.floor(part * size / 4).cast("int")
     long = start(F.col("part") + 1) - start(F.col("part"))
     pieces = running.select("doc", F.col("key").alias("header_key"), F.char_length("key").alias("size"), fourth)
     pieces = pieces.withColumn("piece", F.col("header_key").substr(start(F.col("part")) + 1, long))
-    cut = other.select("doc", "key").distinct().join(lengths, "doc").where(F.abs(F.char_length("key") - size) <= 3).select("doc", "key", "size", fourth)
+    cut = other.join(lengths, "doc").where(F.abs(F.char_length("key") - size) <= 3).select("doc", "key", "size", fourth)
     cut = cut.withColumn("from", F.explode(F.sequence(start(F.col("part")) - 2, start(F.col("part")) + 4))).where("from >= 1")
     cut = cut.select("doc", "key", "size", "part", F.col("key").substr(F.col("from"), long).alias("piece")).distinct()
     near = cut.join(pieces, ["doc", "size", "part", "piece"]).where(F.levenshtein("key", "header_key", 3) >= 0)
-    near = other.join(near.select("doc", "key").distinct(), ["doc", "key"], "left_semi")
-    loose = near.select("item_id", "at")
-    header = exact.unionByName(loose).distinct().withColumn("header", F.lit(True))
+    # a near line counts where it ends for itself
+    names = running.withColumn("near", F.lit(False)).unionByName(near.select("doc", "key").distinct().withColumn("near", F.lit(True)))
+    header = cand.join(names, ["doc", "key"]).where(~F.col("near") | F.col("ends")).select("item_id", "at", F.lit("header").alias("kind"))
 
     numbers = edges.where(F.col("shown").isNotNull()).withColumn("shift", F.col("shown") - F.col("page"))
     steady = numbers.groupBy("doc", "shift").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= 2).select("doc", "shift", F.lit(True).alias("steady"))
-    pageno = numbers.join(steady, ["doc", "shift"], "left").where(F.col("strong") | F.col("steady")).select("item_id", "at").distinct().withColumn("pageno", F.lit(True))
-    return header.join(pageno, ["item_id", "at"], "full").select("item_id", "at", F.coalesce("header", F.lit(False)).alias("header"), F.coalesce("pageno", F.lit(False)).alias("pageno"))
+    pageno = numbers.join(steady, ["doc", "shift"], "left").where(F.col("strong") | F.col("steady")).select("item_id", "at", F.lit("pageno").alias("kind"))
+    both = header.unionByName(pageno).groupBy("item_id", "at")
+    return both.agg((F.count_if(F.col("kind") == "header") > 0).alias("header"), (F.count_if(F.col("kind") == "pageno") > 0).alias("pageno"))
 
 
 def content(items: DataFrame, found: DataFrame) -> DataFrame:
     """The items with their lines but for headers and page numbers."""
-    gone = found.groupBy("item_id").agg(F.collect_set("at").alias("gone"))  # at most four each
+    gone = found.groupBy("item_id").agg(F.collect_set("at").alias("gone"))  # lines at one item's edges
     kept = F.filter("lines", lambda line, k: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), k))
     return items.join(gone, "item_id", "left").withColumn("lines", F.filter(kept, lambda x: F.trim(x) != "")).drop("gone")
 
 
-def broken_words(body: DataFrame) -> DataFrame:
-    """(item_id, at, first, second, second_id) of lines that end in a hyphen after letters; the second half
-    may begin the next item of the document with text, up to six places on."""
-    ends = rf"([\p{{L}}\p{{N}}|\u2020-]+)[{HYPHENS}]\s*$"
-    rows = body.where(F.col("role") != "table").select("item_id", "doc", "seq", "lines", F.posexplode("lines").alias("at", "line"))
-    rows = rows.withColumn("first", F.regexp_extract("line", ends, 1)).where(F.col("first").rlike(r"\p{L}"))
-    start = r"^\s*([\p{L}\p{N}|\u2020]+)"
-    rows = rows.select("item_id", "doc", "seq", "at", "first", F.substring(F.trim("line"), -1, 1).alias("mark"), F.regexp_extract(F.get("lines", F.col("at") + 1), start, 1).alias("second"), (F.col("at") == F.size("lines") - 1).alias("open"))
-    inside = rows.where(~F.col("open")).withColumn("second_id", F.col("item_id")).drop("doc", "seq", "open")
-    open_ends = rows.where("open").drop("second", "open").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(6)))).withColumn("to", F.col("seq") + F.col("step"))
-    starts = body.where((F.col("role") == "text") & (F.size("lines") > 0)).select("doc", F.col("seq").alias("to"), F.col("item_id").alias("second_id"), F.regexp_extract(F.get("lines", F.lit(0)), start, 1).alias("second"))
-    across = open_ends.join(starts, ["doc", "to"], "left").groupBy("item_id", "at", "first", "mark")
-    across = across.agg(F.min_by(F.struct("second", "second_id"), F.when(F.col("second_id").isNotNull(), F.col("step"))).alias("s"))
-    return inside.unionByName(across.select("item_id", "at", "first", "mark", "s.second", "s.second_id"))
+def broken_words(seen: DataFrame, found: DataFrame) -> DataFrame:
+    """(item_id, at, first, mark, second, second_id) of lines that end in a hyphen after letters; at counts
+    the lines without headers and page numbers. The second half begins the next line, or the next item
+    of the document that holds text, however far on it stands.
+
+    The next item is sought within blocks of items, and over the first items of the blocks alone where a
+    block has none, so that a document with a third of all items is spread over its blocks.
+    """
+    pair = f"struct<second: string, second_id: {seen.schema['item_id'].dataType.simpleString()}>"
+    gone = found.groupBy("item_id").agg(F.collect_set("at").alias("gone"))  # lines at one item's edges
+    rows = seen.join(gone, "item_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    # lines that stay: place and first word; blank ones go as well
+    kept = F.filter(F.transform("starts", lambda w, k: F.struct(k.alias("at"), w.alias("w"))), lambda x: x["w"].isNotNull() & ~F.array_contains("gone", x["at"]))
+    rows = rows.withColumn("kept", kept)
+    lines = rows.where(F.size("breaks") > 0).select("item_id", "doc", "seq", "kept", F.explode("breaks").alias("b")).where(F.expr("exists(kept, x -> x.at = b.at)"))
+    after = F.filter("kept", lambda x: x["at"] > F.col("b.at"))
+    lines = lines.select("item_id", "doc", "seq", (F.size("kept") - F.size(after) - 1).alias("at"), "b.first", "b.mark", F.get(after, F.lit(0))["w"].alias("second"), (F.size(after) == 0).alias("open"))
+    inside = lines.where(~F.col("open")).select("item_id", "at", "first", "mark", "second", F.col("item_id").alias("second_id"))
+    ends = lines.where("open").select("doc", "seq", "item_id", F.struct("at", "first", "mark").alias("end"), F.lit(None).cast(pair).alias("start"))
+    begins = rows.where((F.col("role") == "text") & (F.size("kept") > 0))
+    start = F.struct(F.get("kept", F.lit(0))["w"].alias("second"), F.col("item_id").alias("second_id"))
+    begins = begins.select("doc", "seq", "item_id", F.lit(None).cast("struct<at: int, first: string, mark: string>").alias("end"), start.alias("start"))
+    both = ends.unionByName(begins).withColumn("block", F.floor(F.col("seq") / BLOCK))
+    back = Window.partitionBy("doc", "block").orderBy(F.desc("seq"), F.desc("item_id")).rowsBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("next", F.last("start", ignorenulls=True).over(back)).where("end is not null")
+    heads = both.where("start is not null").groupBy("doc", "block").agg(F.min_by("start", F.struct("seq", "item_id")).alias("head"))
+    blocks = heads.unionByName(near.where("next is null").select("doc", "block", F.lit(None).cast(pair).alias("head")).distinct())
+    blocks = blocks.groupBy("doc", "block").agg(F.max("head").alias("head"))
+    chain = Window.partitionBy("doc").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    far = blocks.select("doc", "block", F.last("head", ignorenulls=True).over(chain).alias("far"))
+    across = near.join(far, ["doc", "block"], "left").withColumn("s", F.coalesce("next", "far"))
+    return inside.unionByName(across.select("item_id", "end.at", "end.first", "end.mark", "s.second", "s.second_id"))
 
 
 def judge_breaks(breaks: DataFrame, known: DataFrame) -> DataFrame:
@@ -227,26 +310,37 @@ def judge_breaks(breaks: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def parts(df: DataFrame) -> dict[str, DataFrame]:
-    items = pages(df)
     # written to the shared folder: what follows then has short plans, which keeps the driver small
-    found = cut_lineage(furniture(edge_lines(items).persist()))
+    seen = cut_lineage(read(df))
+    edges = seen.select("item_id", "doc", "page", "role", F.explode("edges").alias("e")).select("item_id", "doc", "page", "role", "e.*")
+    found = cut_lineage(furniture(edges))
     known = cut_lineage(vocabulary(df))
-    body = content(items, found)
-    return {"items": items, "furniture": found, "vocabulary": known, "body": body, "breaks": cut_lineage(judge_breaks(broken_words(body), known)), "misread": cut_lineage(misreadings(known))}
+    return {"furniture": found, "vocabulary": known, "breaks": cut_lineage(judge_breaks(broken_words(seen, found), known)), "misread": cut_lineage(misreadings(known))}
+
+
+def tokens(df: DataFrame) -> DataFrame:
+    """(item_id, w): the different words of each row with a page."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words = [list(set(words_of(t))) for t in pdf["text"]]
+            yield pd.DataFrame({"item_id": pdf["item_id"].repeat([len(w) for w in words]).to_numpy(), "w": [x for w in words for x in w]})
+
+    return paged(df).select("item_id", "text").mapInPandas(cut, f"item_id {df.schema['item_id'].dataType.simpleString()}, w string")
 
 
 def noise(df: DataFrame) -> DataFrame:
     """(item_id, kind) of the items with a page: hyphen, char, header, pageno, each once.
 
     Rows without page, text or item_id are left out; blank texts, empty tables and extra columns do
-    no harm; a line of any length counts whole.
+    no harm; lines, words and headers of any length count whole.
     """
     p = parts(df)
     header = p["furniture"].where("header").select("item_id", F.lit("header").alias("kind"))
     pageno = p["furniture"].where("pageno").select("item_id", F.lit("pageno").alias("kind"))
     broken = p["breaks"].where("broken")
     hyphen = broken.select("item_id", F.lit("hyphen").alias("kind"))
-    token = p["items"].select("item_id", F.explode(F.flatten(F.transform("lines", words))).alias("w")).where(F.col("w") != "").distinct()
+    token = tokens(df)
     digits = token.where(F.col("w").rlike(NUMBER) & F.col("w").rlike("[0-9]") & F.col("w").rlike("[OoIilSsBbZzgq|]"))
     digits = digits.withColumn("word", F.lower("w")).join(p["vocabulary"].where("clean > 0").select("word"), "word", "left_anti")
     lettered = token.select("item_id", F.lower("w").alias("word")).join(p["misread"].select("word"), "word", "left_semi")
@@ -297,14 +391,16 @@ def repair(df: DataFrame) -> DataFrame:
     items stays whole in the first. A misread number keeps its reading as digits.
     """
     p = parts(df)
+    items = pages(df)
+    body = content(items, p["furniture"])
     broken = p["breaks"].where("broken and second is not null and second <> ''")
     own = broken.groupBy("item_id").agg(F.collect_list(F.struct("at", "first", "second")).alias("own"))
     taken = broken.where("second_id <> item_id").groupBy(F.col("second_id").alias("item_id")).agg(F.max("second").alias("skip"))
-    token = p["body"].select("item_id", F.explode(F.flatten(F.transform("lines", words))).alias("w")).select("item_id", F.lower("w").alias("word")).distinct()
+    token = tokens(df).select("item_id", F.lower("w").alias("word")).distinct()
     fixes = token.join(p["misread"], "word").select("item_id", "word", "meant")
     joined = broken.where("meant is not null").select("item_id", F.col("joined").alias("word"), "meant")
     fixes = fixes.unionByName(joined).groupBy("item_id").agg(F.collect_set(F.struct("word", "meant")).alias("fixes"))
-    rows = p["body"].where(F.size("lines") > 0).join(own, "item_id", "left").join(taken, "item_id", "left").join(fixes, "item_id", "left")
+    rows = body.where(F.size("lines") > 0).join(own, "item_id", "left").join(taken, "item_id", "left").join(fixes, "item_id", "left")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -318,6 +414,6 @@ def repair(df: DataFrame) -> DataFrame:
                     texts.append(mended(list(lines), breaks, skip or "", meant))
             yield pdf[["item_id", "doc", "page", "seq", "role"]].assign(text=texts)
 
-    kind = p["items"].schema["item_id"].dataType.simpleString()
+    kind = items.schema["item_id"].dataType.simpleString()
     cols = rows.select("item_id", "doc", "page", F.col("seq").cast("int").alias("seq"), "role", "lines", "own", "skip", "fixes")
     return cols.mapInPandas(write, f"item_id {kind}, doc string, page int, seq int, role string, text string")

@@ -76,3 +76,29 @@ def test_near_headers_against_brute_force(spark):
     running = [dk for dk, pages in seen.items() if len(pages) >= 2]
     want = {i for i, doc, page, key in rows if any(doc == d and distance(key, h) <= 3 for d, h in running)}
     assert got == want and {1, 2, 3} <= got < {i for i, *_ in rows}
+
+
+def test_no_bounds_on_headers_words_and_places(spark):
+    long = "Annual report of the " + " ".join(f"division {chr(97 + k)}" for k in range(22)) + " and others"
+    assert len(long) > 200
+    giant = "over" * 12 + "done"  # a word of 52 letters
+    known = [(900 + k, "clean", k, "text", f"the {giant} insurance was approved", 0, None, "", "") for k in range(6)]
+    rows = [(p, "scan", p if p < 3 else p * 100, "text", f"{long}\nThe text of page {p} was read and approved.\n[{p + 100000}]", 0, p, "", "") for p in range(1, 6)]
+    rows += [(20, "scan", 21, "text", f"We saw that the {giant[:20]}-", 0, 2, "", "")]
+    rows += [(21 + k, "scan", 22 + k, "table", "12 | 13", 0, 2, "", "") for k in range(8)]  # tables hold no text
+    rows += [(700, "far", 1, "text", "It was the insur-", 0, 1, "", ""), (701, "far", 5000, "text", "ance that was approved", 0, 3, "", "")]
+    rows += [(29, "scan", 29 + 1, "text", f"{giant[20:]} insurance was approved.", 0, 2, "", "")]
+    df = spark.createDataFrame(known + rows, SCHEMA)
+    got = {(r.item_id, r.kind) for r in scans.noise(df).collect()}
+    assert {i for i, k in got if k == "header"} == set(range(1, 6)) and {i for i, k in got if k == "pageno"} == set(range(1, 6))
+    assert {i for i, k in got if k == "hyphen"} == {20, 700}
+    text = {r.item_id: r.text for r in scans.repair(df).collect()}
+    assert text[1] == "The text of page 1 was read and approved." and text[20] == f"We saw that the {giant}" and text[29] == "insurance was approved."
+    assert text[700] == "It was the insurance" and text[701] == "that was approved"
+
+
+def test_headers_of_several_lines(spark):
+    head = ["Acme Foods Limited", "Annual Report", "Part Two", "For the use of shareholders"]
+    rows = [(p, "scan", p, "text", "\n".join([*head, f"Page {p} tells of other matters, and", "of nothing else."]), 0, p, "", "") for p in range(1, 5)]
+    found = scans.repair(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.text for r in found} == {f"Page {p} tells of other matters, and of nothing else." for p in range(1, 5)}
