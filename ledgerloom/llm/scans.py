@@ -67,6 +67,8 @@ def from_roman(text: str) -> int:
 
 def page_number(line: str) -> int | None:
     """The number that a line shows if it consists of a printed page number."""
+    if len(line) > 40:  # longer than any form
+        return None
     if ROMAN.fullmatch(roman := line.strip("[]()- .").translate(AS_ROMAN)):
         return from_roman(roman)
     for form in FORMS:
@@ -101,6 +103,7 @@ def key_of(text: str) -> str:
 
 BROKEN = re.compile(r"((?:[^\W_]|[|\u2020-])+)([" + HYPHENS + r"])\s*$")
 FIRST = re.compile(r"\s*((?:[^\W_]|[|\u2020])+)")
+ODD_NUMBER = re.compile(f"(?=.*[0-9])(?=.*[OoIilSsBbZzgq|])(?:{NUMBER})", re.S)
 SPLIT, STRIP = re.compile(BETWEEN_WORDS), re.compile(EDGE)
 
 
@@ -319,14 +322,18 @@ def parts(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def tokens(df: DataFrame) -> DataFrame:
-    """(item_id, w): the different words of each row with a page."""
+    """(item_id, word, number): the different words of each row with a page, and whether one is a number with
+    letters in the place of digits."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            words = [list(set(words_of(t))) for t in pdf["text"]]
-            yield pd.DataFrame({"item_id": pdf["item_id"].repeat([len(w) for w in words]).to_numpy(), "w": [x for w in words for x in w]})
+            words = [set(words_of(t)) for t in pdf["text"]]
+            flat = [w for ws in words for w in ws]
+            number = [bool(ODD_NUMBER.match(w)) for w in flat]
+            yield pd.DataFrame({"item_id": pdf["item_id"].repeat([len(w) for w in words]).to_numpy(), "word": [w.lower() for w in flat], "number": number})
 
-    return paged(df).select("item_id", "text").mapInPandas(cut, f"item_id {df.schema['item_id'].dataType.simpleString()}, w string")
+    kind = df.schema["item_id"].dataType.simpleString()
+    return paged(df).select("item_id", "text").mapInPandas(cut, f"item_id {kind}, word string, number boolean")
 
 
 def noise(df: DataFrame) -> DataFrame:
@@ -340,14 +347,13 @@ def noise(df: DataFrame) -> DataFrame:
     pageno = p["furniture"].where("pageno").select("item_id", F.lit("pageno").alias("kind"))
     broken = p["breaks"].where("broken")
     hyphen = broken.select("item_id", F.lit("hyphen").alias("kind"))
-    token = tokens(df)
-    digits = token.where(F.col("w").rlike(NUMBER) & F.col("w").rlike("[0-9]") & F.col("w").rlike("[OoIilSsBbZzgq|]"))
-    digits = digits.withColumn("word", F.lower("w")).join(p["vocabulary"].where("clean > 0").select("word"), "word", "left_anti")
-    lettered = token.select("item_id", F.lower("w").alias("word")).join(p["misread"].select("word"), "word", "left_semi")
+    known = p["vocabulary"].where((F.col("clean") > 0) & F.col("word").rlike("[0-9]")).select("word", F.lit(True).alias("clean"))
+    misread = tokens(df).join(p["misread"].select("word", F.lit(True).alias("misread")), "word", "left").where(F.col("number") | F.col("misread"))
+    misread = misread.join(known, "word", "left").where(F.col("misread") | F.col("clean").isNull())
     halves = broken.where(F.col("meant").isNotNull())
     first = halves.where(F.substring("meant", 1, 1).isNotNull() & ~F.col("meant").startswith(F.lower("first"))).select("item_id")
     second = halves.where(~F.col("meant").endswith(F.lower("second"))).select(F.col("second_id").alias("item_id"))
-    char = digits.select("item_id").unionByName(lettered.select("item_id")).unionByName(first).unionByName(second).where(F.col("item_id").isNotNull())
+    char = misread.select("item_id").unionByName(first).unionByName(second).where(F.col("item_id").isNotNull())
     return header.unionByName(pageno).unionByName(hyphen).unionByName(char.select("item_id", F.lit("char").alias("kind"))).distinct()
 
 
@@ -396,7 +402,7 @@ def repair(df: DataFrame) -> DataFrame:
     broken = p["breaks"].where("broken and second is not null and second <> ''")
     own = broken.groupBy("item_id").agg(F.collect_list(F.struct("at", "first", "second")).alias("own"))
     taken = broken.where("second_id <> item_id").groupBy(F.col("second_id").alias("item_id")).agg(F.max("second").alias("skip"))
-    token = tokens(df).select("item_id", F.lower("w").alias("word")).distinct()
+    token = tokens(df).select("item_id", "word").distinct()
     fixes = token.join(p["misread"], "word").select("item_id", "word", "meant")
     joined = broken.where("meant is not null").select("item_id", F.col("joined").alias("word"), "meant")
     fixes = fixes.unionByName(joined).groupBy("item_id").agg(F.collect_set(F.struct("word", "meant")).alias("fixes"))
