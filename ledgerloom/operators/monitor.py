@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import written
 
 #: Statuses by precedence.
 PRECEDENCE = ("running", "failed", "done", "deferred", "skipped")
@@ -27,18 +27,33 @@ def macro_status(stages: DataFrame, unit: str, group: str, status: str) -> DataF
 def subtree_sums(spans: DataFrame, node: str, parent: str, value: str) -> DataFrame:
     """(node, total): each span's value with those of all spans below it.
 
-    The ways to the ancestors double in length each round, so a chain of n spans takes log n joins;
-    the ancestor pairs are written to the shared folder between rounds. Spans that are their own
-    ancestor, or whose parent is unknown, count as roots.
+    Pointers double: in round k each span hands the sum of its nearest 2^k levels to the ancestor 2^k levels
+    up, so a chain of n spans takes log n rounds of n rows, each written to the shared folder, and no
+    table of ancestors is made. Spans that are their own ancestor, or whose parent is unknown or
+    null, count as roots; rows of a span that comes twice are one span with the sum of its values.
     """
-    edges = spans.select(F.col(node).alias("low"), F.col(parent).alias("high")).where(F.col(parent).isNotNull() & (F.col(parent) != F.col(node)))
-    edges = edges.join(spans.select(F.col(node).alias("high")), "high", "left_semi").select("low", "high")
-    jump, pairs = cut_lineage(edges), edges
-    while True:
-        step = pairs.join(jump.select(F.col("low").alias("high"), F.col("high").alias("top")), "high")
-        pairs = cut_lineage(pairs.unionByName(step.select("low", F.col("top").alias("high"))).distinct())
-        jump = cut_lineage(jump.join(jump.select(F.col("low").alias("high"), F.col("high").alias("top")), "high").select("low", F.col("top").alias("high")))
-        if jump.isEmpty():
+    once = spans.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("n")).agg(F.min(parent).alias("up"), F.coalesce(F.sum(value), F.lit(0)).alias("v"), F.count(value).alias("c"))
+    known = once.select(F.col("n").alias("up"), F.lit(True).alias("known"))
+    rows = once.join(known, "up", "left").select("n", "v", "c", F.when(F.col("known") & (F.col("up") != F.col("n")), F.col("up")).alias("up"))
+    now = written(rows)
+    count = now.count()
+    hop = lambda at: at.join(at.select(F.col("n").alias("up"), F.col("up").alias("far")), "up", "left")
+
+    # after as many doublings as there are spans, whoever still has an ancestor stands on or below a ring,
+    # and its ancestor is on it
+    ring = now.select("n", "up")
+    for _ in range(count.bit_length()):
+        ring = written(hop(ring).select("n", F.col("far").alias("up")))
+        if ring.where("up is not null").isEmpty():
             break
-    up = pairs.select(F.col("low").alias(node), F.col("high").alias("to")).unionByName(spans.select(node, F.col(node).alias("to")))
-    return up.join(spans.select(node, value), node).groupBy(F.col("to").alias(node)).agg(F.sum(value).alias("total"))
+    own = ring.where("up is not null").select(F.col("up").alias("n"), F.lit(True).alias("ring")).distinct()
+    now = now.join(own, "n", "left").select("n", "v", "c", F.when(F.col("ring").isNull(), F.col("up")).alias("up"))
+
+    while True:
+        now = written(now)
+        if now.where("up is not null").isEmpty():
+            return now.select(F.col("n").alias(node), F.when(F.col("c") > 0, F.col("v")).alias("total"))
+        own = now.select("n", "v", "c")
+        handed = now.where("up is not null").select(F.col("up").alias("n"), "v", "c")
+        sums = own.unionByName(handed).groupBy("n").agg(F.sum("v").alias("v"), F.sum("c").alias("c"))
+        now = hop(now.select("n", "up")).select("n", F.col("far").alias("up")).join(sums, "n")
