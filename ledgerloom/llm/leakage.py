@@ -34,11 +34,11 @@ SHARED = 9
 #: Words that the two windows of a candidate share at least, whatever their order.
 COMMON = 7
 #: Dimensions of the latent space, further random directions, and power iterations.
-RANK, EXTRA, POWER = 128, 16, 1
+RANK, EXTRA, POWER = 160, 16, 1
 #: Passages of the sample on which the space is fitted (taken by hash of the document), about.
 FITTED = 30_000
 #: Least cosine of a candidate.
-COSINE = 0.5
+COSINE = 0.55
 #: Held-out items of one pass over the corpus, and windows of theirs compared at a time.
 ITEMS, AT_ONCE = 50_000, 8192
 
