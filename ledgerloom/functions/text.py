@@ -82,3 +82,14 @@ def grounding(answer: Column, evidence: Column) -> Column:
 def json_object(text: Column) -> Column:
     """The stretch from the first to the last brace, null without one."""
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+#: The namespace of point ids: the one for object identifiers of RFC 9562.
+OID_NAMESPACE = "6ba7b8129dad11d180b400c04fd430c8"
+
+
+def point_id(name: Column, namespace: str = OID_NAMESPACE) -> Column:
+    """UUID of version 5 of a name: SHA-1 of namespace and name with the version and variant bits set."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -114,3 +114,23 @@ def kept_citations(answers: DataFrame, ranked: DataFrame, answer: str = "answer"
     """(query, key): sources that an answer cites and that are among its ranked hits, once each."""
     cited = answers.select("query", F.explode(F.array_distinct(tx.citation_markers(F.col(answer)))).alias("rank"))
     return cited.join(ranked.select("query", "rank", "key"), ["query", "rank"]).select("query", "key").distinct()
+
+
+# How a judge's reply names its confidence and the sources that do not support their claim.
+CONFIDENCE, UNSUPPORTED, UNSURE = r"(?i)CONFIDENCE:\s*([01](?:\.\d+)?|\.\d+)", r"(?i)UNSUPPORTED:\s*([^\n]*)", 0.5
+
+
+def judged(reply: Column) -> tuple[Column, Column]:
+    """(confidence, numbers of unsupported sources) of a judge's reply; a reply without a number is unsure."""
+    number = F.nullif(F.regexp_extract(reply, CONFIDENCE, 1), F.lit("")).cast("double")
+    flagged = F.regexp_extract_all(F.regexp_extract(reply, UNSUPPORTED, 1), F.lit(r"(\d+)"), 1)
+    return F.coalesce(number, F.lit(UNSURE)), F.transform(F.coalesce(flagged, F.array().cast("array<string>")), lambda x: x.cast("int"))
+
+
+def citations_verified(answers: DataFrame, answer: str = "answer", evidence: str = "evidence", reply: str = "reply") -> DataFrame:
+    """Adds confidence (the smaller of the figures' grounding and the judge's) and citations (marks of the answer that
+    the judge does not flag, each once, in order)."""
+    confidence, flagged = judged(F.coalesce(reply, F.lit("")))
+    ground = tx.grounding(F.coalesce(answer, F.lit("")), F.coalesce(evidence, F.lit("")))
+    kept = F.array_except(F.array_distinct(tx.citation_markers(F.coalesce(answer, F.lit("")))), flagged)
+    return answers.withColumns({"confidence": F.round(F.least(ground, confidence), 6), "citations": kept})

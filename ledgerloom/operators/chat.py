@@ -29,6 +29,21 @@ def recent_turns(messages: DataFrame, n: int = 6) -> DataFrame:
     return last.withColumn("turn", F.row_number().over(again)).select("session_id", "turn", "id", "role", "text")
 
 
+def transcript(messages: DataFrame) -> DataFrame:
+    """(session_id, place, id, role, text): all messages of each session by time, then id; without a time first.
+
+    Messages are numbered within hours, and hours by running counts, so that a session with a third of all
+    messages is spread over its hours.
+    """
+    rows = one_message_each(messages).where("session_id is not null").withColumn("hour", F.date_trunc("hour", "created_at"))
+    within = Window.partitionBy("session_id", "hour").orderBy(F.asc_nulls_first("created_at"), "id")
+    hours = Window.partitionBy("session_id").orderBy(F.asc_nulls_first("hour")).rowsBetween(Window.unboundedPreceding, -1)
+    skip = rows.groupBy("session_id", "hour").agg(F.count("*").alias("n")).select("session_id", F.col("hour").alias("at"), F.coalesce(F.sum("n").over(hours), F.lit(0)).alias("skip"))
+    numbered = rows.withColumn("k", F.row_number().over(within)).withColumnRenamed("session_id", "session")
+    joined = numbered.join(skip, (F.col("session") == F.col("session_id")) & F.col("hour").eqNullSafe(F.col("at")))
+    return joined.select("session_id", (F.col("k") + F.col("skip")).cast("int").alias("place"), "id", "role", "text")
+
+
 def session_list(sessions: DataFrame, limit: int = 100) -> DataFrame:
     """Each user's sessions, latest first, at most limit (the page size of the listing)."""
     rest = [c for c in sessions.columns if c != "id"]

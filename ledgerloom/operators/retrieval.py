@@ -55,31 +55,69 @@ def top_k(scored: DataFrame, k: int, query: str = "query", item: str = "key", sc
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 20, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query, term, times) of the queries' own words. queries: (query, text)."""
+    return queries.select("query", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+
+
+def matched(docs: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, length, term, tf) of the documents' words that some query asks for.
+
+    The asked words meet the words of a document before anything moves, so that of the corpus only what
+    matches is shuffled.
+    """
+    words = docs.select(F.col(key).alias("key"), tx.tokens(F.col(text)).alias("w")).select("key", F.size("w").alias("length"), F.explode("w").alias("term"))
+    return words.join(asked_terms(queries).select("term").distinct(), "term", "left_semi").groupBy("key", "length", "term").agg(F.count("*").alias("tf"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 20, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, among: DataFrame | None = None) -> DataFrame:
     """(query, key, score, rank): Okapi scores of documents that share a term with the query.
 
     Statistics cover all documents (an empty text is a document of length 0). A negative idf becomes
-    epsilon times the mean idf; a term that a query repeats counts again. Query terms meet postings
-    in a join on the term. queries: (query, text).
+    epsilon times the mean idf; a term that a query repeats counts again. queries: (query, text).
+    among: (query, key) pairs that a query's filters let through; others are scored but not ranked.
     """
-    post = postings(docs, key, text)
-    totals = docs.select(F.count("*").alias("n"), F.avg(F.size(tx.tokens(F.col(text)))).alias("mean"))
-    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # one row on the right
+    words = docs.select(tx.tokens(F.col(text)).alias("w"))
+    totals = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # one row on the right
     idf = df.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean_idf = idf.agg(F.avg("idf").alias("mean_idf"))
     idf = idf.crossJoin(F.broadcast(mean_idf)).withColumn("idf", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")))
-    asked = queries.select("query", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    weighted = asked.join(idf.select("term", "idf", "mean"), "term")
+    weighted = asked_terms(queries).join(idf.select("term", "idf", "mean"), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = post.join(weighted, "term").groupBy("query", "key").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(scored, k)
+    scored = matched(docs, queries, key, text).join(weighted, "term").groupBy("query", "key").agg(F.round(F.sum(part), 6).alias("score"))
+    return top_k(scored if among is None else scored.join(among, ["query", "key"], "left_semi"), k)
+
+
+def sparse(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 20, among: DataFrame | None = None) -> DataFrame:
+    """(query, key, score, rank): dot products of term counts over shared terms; among as in bm25."""
+    hits = matched(docs, queries, key, text).join(asked_terms(queries), "term")
+    scored = hits.groupBy("query", "key").agg(F.sum(F.col("times") * F.col("tf")).cast("double").alias("score"))
+    return top_k(scored if among is None else scored.join(among, ["query", "key"], "left_semi"), k)
+
+
+def scoped(questions: DataFrame, companies: DataFrame, chunks: DataFrame, key: str = "chunk_id", collection: str = "metadata.collection_id") -> DataFrame:
+    """(query, key): the chunks that each question may be answered from: those of the company it names, all chunks
+    of any company if it names none. companies: (query, collection_id), at most one row each."""
+    named = questions.select("query").join(companies, "query", "left")
+    of = chunks.select(F.col(key).alias("key"), F.col(collection).alias("collection_id")).where("key is not null").distinct()
+    some = named.where("collection_id is not null").join(of, "collection_id").select("query", "key")
+    return some.distinct()
 
 
-def sparse(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 20) -> DataFrame:
-    """(query, key, score, rank): dot products of term counts over shared terms."""
-    asked = queries.select("query", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    scored = postings(docs, key, text).join(asked, "term").groupBy("query", "key").agg(F.sum(F.col("times") * F.col("tf")).cast("double").alias("score"))
-    return top_k(scored, k)
+def fused_search(chunks: DataFrame, questions: DataFrame, companies: DataFrame, key: str = "chunk_id", text: str = "text", k: int = 20) -> DataFrame:
+    """(query, key, score, rank): lexical and sparse arms over the chunks of the company each question names,
+    fused by reciprocal ranks, with superseded versions dropped. Questions that name no company have no scope
+    and are searched nowhere here."""
+    once = chunks.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(F.col(text).alias("text"), F.col("metadata.logical_key").alias("logical_key"), F.col("metadata.source_revision").alias("revision"))).alias("c")).select(key, "c.*")
+    among = scoped(questions, companies, chunks, key)
+    arms = [arm(once, questions, key, "text", k, among=among) for arm in (bm25, sparse)]
+    fused = fuse(arms, 2 * k)
+    versions = once.select(F.col(key).alias("key"), F.nullif(F.trim("logical_key"), F.lit("")).alias("logical_key"), "revision")
+    rows = fused.join(versions, "key")
+    top = rows.where("logical_key is not null").groupBy("query", "logical_key").agg(F.max("revision").alias("top"))
+    kept = rows.join(top, ["query", "logical_key"], "left").where(F.col("logical_key").isNull() | F.col("revision").eqNullSafe(F.col("top")))
+    return top_k(kept.select("query", "key", "score"), k)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10) -> DataFrame:
@@ -105,13 +143,24 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: s
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             names, q = shared.value
+            best_keys, best = None, None  # the best k of the task so far, carried over its batches
             for pdf in batches:
                 x = np.stack([np.asarray(v, np.float64) for v in pdf["vector"]]) if len(pdf) else np.zeros((0, q.shape[1]))
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 score = np.round(q @ x.T, 6)
                 keys = pdf["key"].to_numpy()
-                best = np.lexsort((np.broadcast_to(keys, score.shape), -score), axis=1)[:, :k]
-                yield pd.DataFrame({"query": np.repeat(names, best.shape[1]), "key": keys[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+                keys = np.broadcast_to(keys, score.shape)
+                if score.shape[1] > k:  # those at or above the k-th best; ties are settled by the key below
+                    level = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+                    wide = int((score >= level).sum(axis=1).max())
+                    order = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
+                    score, keys = np.take_along_axis(score, order, 1), np.take_along_axis(keys, order, 1)
+                if best is not None:
+                    score, keys = np.concatenate([best, score], axis=1), np.concatenate([best_keys, keys], axis=1)
+                order = np.lexsort((keys, -score), axis=1)[:, :k]
+                best, best_keys = np.take_along_axis(score, order, 1), np.take_along_axis(keys, order, 1)
+            if best is not None:
+                yield pd.DataFrame({"query": np.repeat(names, best.shape[1]), "key": best_keys.ravel(), "score": best.ravel()})
 
         kinds = f"query {asked.schema['query'].dataType.simpleString()}, key {rows.schema['key'].dataType.simpleString()}, score double"
         hits = rows.mapInPandas(search, kinds)

@@ -11,7 +11,7 @@ from ..functions import checksums, periods, rules
 from ..functions import text as tx
 from ..functions.vectors import cosine
 from ..operators import answering, chat, chunking, evaluation, facts, identity, monitor, redaction, retrieval, sqlguard
-from ..session import table
+from ..session import cut_lineage, table
 from ..sources import readers
 from ..streaming import ingest
 
@@ -28,6 +28,7 @@ ANNUAL = f"(len(string_split(period, '/')) = 2 AND coalesce({ISO.format('split_p
 FILINGS = "one_filing AS (SELECT * FROM filings WHERE filing_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY filing_id ORDER BY version) = 1)"
 MESSAGES = "one_message AS (SELECT * FROM chat_messages WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at NULLS FIRST) = 1)"
 WORDS = "coalesce(regexp_extract_all(lower(text), '[a-z0-9]+'), [])"
+SPACE = r"[\t\n\x0b\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 SPACED = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 
 
@@ -233,10 +234,10 @@ def chunking_gate(t: Read) -> DataFrame:
     return chunking.choose(out, "doc_id")
 
 
-@query(f"""SELECT doc_id, CASE WHEN length({SPACED.format('text')}) > 60 THEN rtrim(left({SPACED.format('text')}, 60)) || '…' ELSE {SPACED.format('text')} END AS title FROM documents
-WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+@query(f"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '{SPACE}', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN length(t) > 60 THEN rtrim(left(t, 60)) || '…' ELSE t END AS title FROM t""")
 def auto_titles(t: Read) -> DataFrame:
-    """A title for every text, in any script. The SQL covers the texts of ASCII characters alone."""
+    """A title for every text, in any script."""
     rows = t("documents").where("text is not null")
     return rows.select("doc_id", tx.shortened(F.regexp_replace("text", tx.WIDE_SPACE, " "), 60).alias("title"))
 
@@ -336,6 +337,14 @@ def rrf_fused(t: Read) -> DataFrame:
     return retrieval.fuse(arms).select("query", "key", "score", "rank")
 
 
+@query()
+def scoped_fused(t: Read) -> DataFrame:
+    """Questions that name a company, answered from its chunks: both arms fused, old versions dropped."""
+    asked = chat.one_message_each(t("chat_messages")).where(F.col("text").startswith("Which risks"))
+    named = facts.companies_named(asked, t("collections")).withColumnRenamed("id", "query")
+    return retrieval.fused_search(t("chunks"), asked.select(F.col("id").alias("query"), "text"), cut_lineage(named))
+
+
 @query("""WITH p AS (SELECT q.vec_id AS query, e.vec_id AS key, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)
 SELECT query, key, score, (row_number() OVER (PARTITION BY query ORDER BY score DESC, key))::INT AS rank FROM p QUALIFY rank <= 10""")
 def dense_topk(t: Read) -> DataFrame:
@@ -401,7 +410,7 @@ def reranked(t: Read) -> DataFrame:
 @query()
 def answers_verified(t: Read) -> DataFrame:
     """Extracted answers of the questions, checked against their evidence, with a second attempt where the first fails."""
-    hits = retrieval.bm25(t("documents"), _asked(t), "doc_id", "text")
+    hits = cut_lineage(retrieval.bm25(t("documents"), _asked(t), "doc_id", "text"))
     return answering.verified(_asked(t), lambda left, n: answering.extract(left, hits, t("documents"), "doc_id", "text", n))
 
 
@@ -418,11 +427,18 @@ def chunk_cohesion(t: Read) -> DataFrame:
 @query()
 def answer_citations(t: Read) -> DataFrame:
     """Sources that the numbered answers cite, out of their hits."""
-    hits = retrieval.bm25(t("documents"), _asked(t), "doc_id", "text")
+    hits = cut_lineage(retrieval.bm25(t("documents"), _asked(t), "doc_id", "text"))
     answers = answering.verified(_asked(t), lambda left, n: answering.extract(left, hits, t("documents"), "doc_id", "text", n))
     return answering.kept_citations(answers, hits)
 
 
+@query("""WITH c AS (SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL), h AS (SELECT chunk_id, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(chunk_id)) AS h FROM c)
+SELECT chunk_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS point FROM h""")
+def point_ids(t: Read) -> DataFrame:
+    """The ids under which chunks are stored in a vector index."""
+    return t("chunks").where("chunk_id is not null").select("chunk_id").distinct().withColumn("point", tx.point_id(F.col("chunk_id")))
+
+
 # ---- questions, chat, guards
 
 
@@ -467,6 +483,28 @@ def session_list(t: Read) -> DataFrame:
     return chat.session_list(t("chat_sessions"))
 
 
+@query(f"""WITH {MESSAGES} SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY created_at NULLS FIRST, id))::INT AS place, id, role, text FROM one_message WHERE session_id IS NOT NULL""")
+def transcripts(t: Read) -> DataFrame:
+    """Every message of every session in the order in which it was said."""
+    return chat.transcript(t("chat_messages"))
+
+
+CLAIMS = """one_message AS (SELECT * FROM chat_messages WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at NULLS FIRST) = 1),
+c AS (SELECT id, text AS answer, coalesce(meta, '') AS evidence, 'CONFIDENCE: 0.' || (length(text) % 10)::VARCHAR || chr(10) || 'UNSUPPORTED: ' || (length(text) % 4)::VARCHAR AS reply FROM one_message WHERE contains(text, '['))"""
+
+
+@query(f"""WITH {CLAIMS}, m AS (SELECT *, list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: x::INT)) AS marks, regexp_extract_all(regexp_replace(answer, '\\[\\d+\\]', ' ', 'g'), '(\\d[\\d,]*(?:\\.\\d+)?)', 1) AS nums FROM c)
+SELECT id, round(least(CASE WHEN len(nums) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(nums, lambda x: contains(evidence, x))) / len(nums) END, ('0.' || (length(answer) % 10)::VARCHAR)::DOUBLE), 6) AS confidence,
+coalesce(array_to_string(list_sort(list_filter(marks, lambda x: x <> length(answer) % 4)), ','), '') AS citations FROM m""")
+def citations_verified(t: Read) -> DataFrame:
+    """The replies' claims against their sources in meta, with a verdict derived from the reply's length in place of a judge."""
+    m = chat.one_message_each(t("chat_messages")).where(F.col("text").contains("["))
+    size = F.char_length("text")
+    reply = F.concat(F.lit("CONFIDENCE: 0."), (size % 10).cast("string"), F.lit("\nUNSUPPORTED: "), (size % 4).cast("string"))
+    out = answering.citations_verified(m.select("id", F.col("text").alias("answer"), F.coalesce("meta", F.lit("")).alias("evidence"), reply.alias("reply")))
+    return out.select("id", "confidence", F.array_join(F.array_sort("citations"), ",").alias("citations"))
+
+
 def _guard_sql(rows: tuple[tuple[str, str], ...]) -> str:
     return "CASE " + " ".join("WHEN regexp_matches(text, '{}', 'i') THEN '{}'".format(p.replace("'", "''"), c) for c, p in rows) + " END"
 
@@ -484,17 +522,20 @@ def citation_marks(t: Read) -> DataFrame:
     return m.where(F.size("marks") > 0).select("id", F.size("marks").alias("n"), F.size(F.array_distinct("marks")).alias("sources"), F.array_max("marks").alias("highest"))
 
 
-@query(f"""WITH {MESSAGES}, s AS (SELECT session_id, string_agg(text, ' ' ORDER BY id) AS evidence FROM one_message WHERE lower(trim(role)) = 'user' AND text IS NOT NULL GROUP BY session_id),
-a AS (SELECT m.id, regexp_extract_all(regexp_replace(m.text, '\\[\\d+\\]', ' ', 'g'), '(\\d[\\d,]*(?:\\.\\d+)?)', 1) AS nums, s.evidence FROM one_message m JOIN s USING (session_id) WHERE lower(trim(m.role)) = 'assistant' AND m.text IS NOT NULL)
+SIDE = f"CASE WHEN {{0}} IN {rules.USER} THEN 'user' WHEN {{0}} IN {rules.ASSISTANT} THEN 'assistant' END".format("lower(regexp_replace(role, '^[\\s\\x{A0}:]+|[\\s\\x{A0}:]+$', '', 'g'))")
+
+
+@query(f"""WITH {MESSAGES}, m AS (SELECT *, {SIDE} AS side FROM one_message), s AS (SELECT session_id, string_agg(text, ' ' ORDER BY id) AS evidence FROM m WHERE side = 'user' AND text IS NOT NULL GROUP BY session_id),
+a AS (SELECT m.id, regexp_extract_all(regexp_replace(m.text, '\\[\\d+\\]', ' ', 'g'), '(\\d[\\d,]*(?:\\.\\d+)?)', 1) AS nums, s.evidence FROM m JOIN s USING (session_id) WHERE m.side = 'assistant' AND m.text IS NOT NULL)
 SELECT id, len(nums) AS figures, round(CASE WHEN len(nums) = 0 THEN 1.0 ELSE len(list_filter(nums, lambda x: contains(evidence, x))) / len(nums) END, 6) AS grounding FROM a""")
 def numeric_grounding(t: Read) -> DataFrame:
-    """How far the figures of replies stand in the questions of their session. The SQL knows the roles user and assistant alone."""
+    """How far the figures of replies stand in the questions of their session."""
     return chat.numeric_grounding(t("chat_messages"))
 
 
-@query(f"""WITH {MESSAGES} SELECT id, len(regexp_extract_all(text, '{redaction.FORMS["EMAIL"]}')) AS n FROM one_message WHERE regexp_matches(text, '{redaction.FORMS["EMAIL"]}') AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+@query(f"""WITH {MESSAGES} SELECT id, len(regexp_extract_all(text, '{redaction.FORMS["EMAIL"]}')) AS n FROM one_message WHERE regexp_matches(text, '{redaction.FORMS["EMAIL"]}')""")
 def email_counts(t: Read) -> DataFrame:
-    """Mail addresses of each message, with word ends as in ASCII whatever the script. The SQL covers the messages of ASCII characters alone."""
+    """Mail addresses of each message, with word ends as in ASCII whatever the script."""
     m = chat.one_message_each(t("chat_messages")).where(F.col("text").contains("@"))
     form = redaction.FORMS["EMAIL"].replace(r"\b", tx.ASCII_WORD_END)
     return m.select("id", F.size(F.regexp_extract_all("text", F.lit(f"({form})"), 1)).alias("n")).where("n > 0")

@@ -82,3 +82,55 @@ def test_registry():
             raise AssertionError
         except (ValueError, KeyError):
             pass
+
+
+def test_scope_fusion_and_versions(spark):
+    from ledgerloom.operators import retrieval
+
+    meta = "struct<collection_id: string, logical_key: string, source_revision: int>"
+    rows = [
+        ("a1", "net debt rose and debt fell", ("c1", "k", 1)), ("a2", "net debt rose again", ("c1", "k", 2)), ("a3", "net debt of the plant", ("c1", None, None)),
+        ("b1", "net debt rose and debt fell", ("c2", "k", 9)), ("b1", "net debt rose and debt fell", ("c2", "k", 9)), (None, "net debt", ("c1", None, 1)), ("a4", None, ("c1", None, None)),
+    ]
+    chunks = spark.createDataFrame(rows, f"chunk_id string, text string, metadata {meta}")
+    questions = spark.createDataFrame([(1, "net debt rose"), (2, "net debt rose"), (3, None)], "query bigint, text string")
+    companies = spark.createDataFrame([(1, "c1")], "query bigint, collection_id string")
+    out = retrieval.fused_search(chunks, questions, companies).orderBy("query", "rank").collect()
+    assert [(r.query, r.key, r.rank) for r in out] == [(1, "a2", 1), (1, "a3", 2)]
+    assert retrieval.fused_search(chunks.limit(0), questions, companies).count() == 0
+
+
+def test_dense_keeps_the_best_over_batches(spark):
+    import numpy as np
+
+    from ledgerloom.operators import retrieval
+
+    dice = np.random.default_rng(4)
+    x = dice.integers(-2, 3, (300, 4)).astype(float)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(k, x[k].tolist()) for k in range(0, 300, 20)], "query bigint, vector array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    got = {(r.query, r["rank"]): r.key for r in retrieval.dense(rows, asked, k=7).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    for q in range(0, 300, 20):
+        score = np.round(unit @ unit[q], 6)
+        want = sorted(range(300), key=lambda k: (-score[k], k))[:7]
+        assert [got[q, r] for r in range(1, 8)] == want
+
+
+def test_point_ids_and_judge_replies(spark):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions import text as tx
+    from ledgerloom.operators import answering
+
+    names = ["a", "doc-1-0000", "é", ""]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r.p for r in df.select(tx.point_id(F.col("n")).alias("p")).collect()] == [str(uuid.uuid5(uuid.NAMESPACE_OID, n)) for n in names]
+    rows = [("It is 42 [1][2][1]", "42 and 7", "CONFIDENCE: 0.9\nUNSUPPORTED: 2"), ("It is 42 [1]", "7", "confidence: 0.8\nUnsupported: none"), ("No figure [3]", None, None), (None, None, "CONFIDENCE: 1")]
+    out = answering.citations_verified(spark.createDataFrame(rows, "answer string, evidence string, reply string")).collect()
+    assert [(r.confidence, r.citations) for r in out] == [(0.9, [1]), (0.0, [1]), (0.5, [3]), (1.0, [])]
