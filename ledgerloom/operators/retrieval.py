@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-#: Query vectors that are broadcast at a time in dense search.
+#: Queries that are broadcast at a time.
 BLOCK = 4096
+#: Words as in functions.text.tokens, of text in lower case.
+WORD = re.compile("[a-z0-9]+")
 
 
 def matches(filters: dict[str, object], prefix: str = "metadata.") -> Column:
@@ -84,16 +87,23 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 20,
     mean_idf = idf.agg(F.avg("idf").alias("mean_idf"))
     idf = idf.crossJoin(F.broadcast(mean_idf)).withColumn("idf", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")))
     weighted = asked_terms(queries).join(idf.select("term", "idf", "mean"), "term")
+    if among is None:
+        mean = totals.first()["mean"] or 1.0
+        weights = weighted.select("query", "term", (F.col("times") * F.col("idf")).alias("weight"))
+        return ranked(docs, weights, key, text, k, lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = matched(docs, queries, key, text).join(weighted, "term").groupBy("query", "key").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(scored if among is None else scored.join(among, ["query", "key"], "left_semi"), k)
+    return top_k(scored.join(among, ["query", "key"], "left_semi"), k)
 
 
 def sparse(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 20, among: DataFrame | None = None) -> DataFrame:
     """(query, key, score, rank): dot products of term counts over shared terms; among as in bm25."""
+    if among is None:
+        weights = asked_terms(queries).select("query", "term", F.col("times").cast("double").alias("weight"))
+        return ranked(docs, weights, key, text, k, lambda tf, length: tf)
     hits = matched(docs, queries, key, text).join(asked_terms(queries), "term")
     scored = hits.groupBy("query", "key").agg(F.sum(F.col("times") * F.col("tf")).cast("double").alias("score"))
-    return top_k(scored if among is None else scored.join(among, ["query", "key"], "left_semi"), k)
+    return top_k(scored.join(among, ["query", "key"], "left_semi"), k)
 
 
 def scoped(questions: DataFrame, companies: DataFrame, chunks: DataFrame, key: str = "chunk_id", collection: str = "metadata.collection_id") -> DataFrame:
@@ -120,6 +130,87 @@ def fused_search(chunks: DataFrame, questions: DataFrame, companies: DataFrame,
     return top_k(kept.select("query", "key", "score"), k)
 
 
+class Best:
+    """The best k of a task so far for each of many queries, carried over its batches; ties go to the smaller key."""
+
+    def __init__(self, k: int):
+        self.k, self.keys, self.score = k, None, None
+
+    def add(self, score: np.ndarray, keys: np.ndarray) -> None:
+        """score: a row per query, a column per key; minus infinity is no hit."""
+        keys = np.broadcast_to(keys, score.shape)
+        if score.shape[1] > self.k:  # those at or above the k-th best; ties are settled by the key below
+            level = -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            wide = max(int(((score >= level) & (score > -np.inf)).sum(axis=1).max()), 1)
+            order = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
+            score, keys = np.take_along_axis(score, order, 1), np.take_along_axis(keys, order, 1)
+        if self.score is not None:
+            score, keys = np.concatenate([self.score, score], axis=1), np.concatenate([self.keys, keys], axis=1)
+        order = np.lexsort((keys, -score), axis=1)[:, : self.k]
+        self.score, self.keys = np.take_along_axis(score, order, 1), np.take_along_axis(keys, order, 1)
+
+    def rows(self, names: np.ndarray) -> pd.DataFrame:
+        if self.score is None:
+            return pd.DataFrame({"query": names[:0], "key": [], "score": []})
+        hit = self.score.ravel() > -np.inf
+        return pd.DataFrame({"query": np.repeat(names, self.score.shape[1])[hit], "key": self.keys.ravel()[hit], "score": self.score.ravel()[hit]})
+
+
+def ranked(docs: DataFrame, weights: DataFrame, key: str, text: str, k: int, share: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(query, key, score, rank): the k documents with the largest sums over the words they share with a query of its
+    weight times share(occurrences, words of the document).
+
+    The queries' weights (query, term, weight) go out in blocks of bounded size; documents are scored where they
+    lie and each task sends on its best k per query alone. Documents without a key are no hits.
+    """
+    blocks = max(1, -(-weights.select("query").distinct().count() // BLOCK))
+    kinds = f"query {weights.schema['query'].dataType.simpleString()}, key {docs.schema[key].dataType.simpleString()}, score double"
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.lower(text).alias("text"))
+    out = None
+    for block in range(blocks):
+        part = weights.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).toPandas().sort_values(["query", "term"])
+        if not len(part):
+            continue
+        names = part["query"].unique()
+        groups = []
+        for lo in range(0, len(names), 256):  # what is multiplied at a time
+            some = part[part["query"].isin(names[lo : lo + 256])]
+            term, terms = pd.factorize(some["term"])
+            query = pd.Index(names[lo : lo + 256]).get_indexer(some["query"])
+            table = np.zeros((len(terms), len(names[lo : lo + 256])))
+            np.add.at(table, (term, query), some["weight"].to_numpy())
+            asks = np.zeros(table.shape)
+            asks[term, query] = 1  # a weight may be 0
+            groups.append((names[lo : lo + 256], {t: n for n, t in enumerate(terms)}, table, asks))
+        shared = docs.sparkSession.sparkContext.broadcast(groups)
+
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            groups = shared.value
+            best = [Best(k) for _ in groups]
+            for batch in batches:
+                for lo in range(0, len(batch), 512):
+                    pdf = batch.iloc[lo : lo + 512]
+                    words = [WORD.findall(t) for t in pdf["text"]]
+                    length = np.array([len(w) for w in words], np.float64)
+                    keys = pdf["key"].to_numpy()
+                    for (_, number, table, asks), top in zip(groups, best):
+                        count = np.zeros((len(words), len(number)))
+                        for n, ws in enumerate(words):
+                            hits = [number[w] for w in ws if w in number]
+                            np.add.at(count[n], hits, 1)
+                        score = share(count, length[:, None]) @ table
+                        score[(count > 0).astype(np.float64) @ asks == 0] = -np.inf
+                        top.add(np.round(score, 6).T, keys)
+            for (names, *_), top in zip(groups, best):
+                yield top.rows(names)
+
+        hits = rows.mapInPandas(search, kinds)
+        out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], f"{kinds}, rank int")
+    return top_k(out, k)
+
+
 def dense(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10) -> DataFrame:
     """(query, key, score, rank): exact cosine search of a query set against all rows.
 
@@ -143,24 +234,15 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: s
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             names, q = shared.value
-            best_keys, best = None, None  # the best k of the task so far, carried over its batches
+            best = Best(k)
             for pdf in batches:
                 x = np.stack([np.asarray(v, np.float64) for v in pdf["vector"]]) if len(pdf) else np.zeros((0, q.shape[1]))
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 score = np.round(q @ x.T, 6)
                 keys = pdf["key"].to_numpy()
-                keys = np.broadcast_to(keys, score.shape)
-                if score.shape[1] > k:  # those at or above the k-th best; ties are settled by the key below
-                    level = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-                    wide = int((score >= level).sum(axis=1).max())
-                    order = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
-                    score, keys = np.take_along_axis(score, order, 1), np.take_along_axis(keys, order, 1)
-                if best is not None:
-                    score, keys = np.concatenate([best, score], axis=1), np.concatenate([best_keys, keys], axis=1)
-                order = np.lexsort((keys, -score), axis=1)[:, :k]
-                best, best_keys = np.take_along_axis(score, order, 1), np.take_along_axis(keys, order, 1)
-            if best is not None:
-                yield pd.DataFrame({"query": np.repeat(names, best.shape[1]), "key": best_keys.ravel(), "score": best.ravel()})
+                if len(pdf):
+                    best.add(score, keys)
+            yield best.rows(names)
 
         kinds = f"query {asked.schema['query'].dataType.simpleString()}, key {rows.schema['key'].dataType.simpleString()}, score double"
         hits = rows.mapInPandas(search, kinds)
