@@ -62,7 +62,7 @@ def _check_expression(e) -> None:
         _check_expression(child)
 
 
-def checked(spark: SparkSession, statement: str):
+def parsed(spark: SparkSession, statement: str):
     """(plan below the projection, name of the fact table in it, limit) of a permitted statement, else Refused."""
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
@@ -100,6 +100,11 @@ def checked(spark: SparkSession, statement: str):
     return body, tables["financial_facts"], limit
 
 
+def checked(spark: SparkSession, statement: str) -> tuple[str, int]:
+    """(statement, limit) if it is permitted, else Refused."""
+    return statement, parsed(spark, statement)[2]
+
+
 def run(spark: SparkSession, statement: str, views: dict[str, DataFrame], collection: str | None = None) -> DataFrame:
     """Facts that a permitted statement selects, in canonical columns, at most 50, of one collection if named.
 
@@ -107,7 +112,7 @@ def run(spark: SparkSession, statement: str, views: dict[str, DataFrame], collec
     columns so that the limit is defined. The tables are known to a session of their own, so no view of
     the caller's is touched.
     """
-    body, source, limit = checked(spark, statement)
+    body, source, limit = parsed(spark, statement)
     apart = spark.newSession()
     on = lambda session, plan: DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan), session)
     for name in TABLES:
