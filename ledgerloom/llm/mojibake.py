@@ -176,8 +176,8 @@ def steps(text: str, first: bool) -> Iterator[tuple[str, bool, bool]]:
 
 
 @lru_cache(200_000)
-def cheapest(before: str, run: str, after: str) -> tuple[str, bool]:
-    """(cheapest text, whether the stretch was decoded wrongly)."""
+def cheapest(before: str, run: str, after: str) -> tuple[str, bool, bool]:
+    """(cheapest text, whether the stretch was decoded wrongly, whether states were left unopened)."""
     first = cost(before, run, after)
     best, goal, queue, seen, opened = first - GAIN, run, [(first, 0, run)], {run}, 0
     while queue and opened < OPENED:
@@ -192,7 +192,7 @@ def cheapest(before: str, run: str, after: str) -> tuple[str, bool]:
             if go_on and new not in seen and depth < 5 and c <= first + 12:
                 seen.add(new)
                 heapq.heappush(queue, (c, depth + 1, new))
-    return goal, goal != run or "�" in run or any("\x80" <= c <= "\x9f" and c != "\x85" for c in run)
+    return goal, goal != run or "�" in run or any("\x80" <= c <= "\x9f" and c != "\x85" for c in run), bool(queue)
 
 
 def wide_line(line: str) -> str | None:
@@ -244,10 +244,10 @@ def restore(text: str) -> tuple[str, int, int]:
             before, after = line[a - 1 : a] if a else "", line[b : b + 1]
             if not suspicious(before, run, after):
                 continue
-            new, wrong = cheapest(before, run, after)
+            new, wrong, cut = cheapest(before, run, after)
             if wrong:
                 bad += 1
-                stuck += new == run
+                stuck += cut or new == run
                 out += (line[at:a], new)
                 at = b
         if at:
@@ -259,7 +259,8 @@ def restore_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """(key, stretches, unrestored, restored) of every row with a garbled stretch.
 
     Null, empty and clean texts give no row; a repeated row gives one each time. What cannot be
-    restored (replacement characters, say) stays as it is and is counted as unrestored. Only the
+    restored (replacement characters, say) stays as it is and is counted as unrestored, and so is a stretch
+    whose search stopped at OPENED states, with the best text found so far. Only the
     two columns are read; rows stay where they are.
     """
 
