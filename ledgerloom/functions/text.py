@@ -61,6 +61,16 @@ def context_prefix(company: Column, kind: Column, period: Column, section: Colum
     return F.concat_ws(" · ", *[F.nullif(c, F.lit("")) for c in (company, kind, period, section)])
 
 
+def source_title(company: Column, form: Column, period: Column, year: Column, section: Column) -> Column:
+    """The parts that are there, with dots between; the year stands in for a missing period."""
+    return context_prefix(company, form, F.coalesce(F.nullif(period, F.lit("")), year.cast("string")), section)
+
+
+def source_url(doc: Column, page: Column) -> Column:
+    """The viewer's address of a source, with its page where that is known."""
+    return F.concat(F.lit("/sources/"), doc, F.coalesce(F.concat(F.lit("#p"), page.cast("string")), F.lit("")))
+
+
 def citation_markers(text: Column) -> Column:
     """Numbers of the [n] marks, in order."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), 1), lambda x: x.cast("int"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import written
 
 LADDER = ("\n\n", "\n", ". ", " ")
 #: Positions of a document that one task handles together; it changes how the work is spread, not what comes out.
@@ -193,11 +194,22 @@ def structure_chunks(items: DataFrame, budget: int = 512, overlap: int = 64) ->
     return out.select("source_doc_id", "section", F.col("stretch").alias("part"), "ordinal", "kind", F.concat_ws("\n\n", "chunk", "rest").alias("chunk"))
 
 
+def _once(value: Column, of) -> Column:
+    """of(value), with the value bound as a variable, so that it is computed once and not for every place of an inner loop."""
+    return F.transform(F.array(value), of)[0]
+
+
 def neighbourhoods(sentences: Column, buffer: int = 2) -> Column:
     """Each sentence joined with up to buffer neighbours on either side; made within the row, so nothing moves."""
     first = lambda n: F.greatest(n - buffer, F.lit(0))
-    around = lambda s, n: F.array_join(F.slice(sentences, first(n) + 1, n + buffer + 1 - first(n)), " ")
-    return F.transform(sentences, around)
+    return _once(sentences, lambda own: F.transform(own, lambda s, n: F.array_join(F.slice(own, first(n) + 1, n + buffer + 1 - first(n)), " ")))
+
+
+def bag(words: Column, width: int = 64) -> Column:
+    """Words counted in width places by their hash; a stand-in for a model's vector."""
+    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int"))
+    counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.size(F.filter(own, lambda s: s == k)).cast("double"))
+    return _once(slots, counts)
 
 
 def sentence_vectors(docs: DataFrame, key: str, text: str, width: int = 64, buffer: int = 0) -> DataFrame:
@@ -205,9 +217,7 @@ def sentence_vectors(docs: DataFrame, key: str, text: str, width: int = 64, buff
     rows = docs.select(F.col(key).alias("key"), tx.sentences(F.col(text)).alias("all"))
     rows = rows.select("key", F.posexplode(F.arrays_zip(F.col("all").alias("sentence"), neighbourhoods(F.col("all"), buffer).alias("around"))).alias("pos", "s"))
     rows = rows.select("key", "pos", "s.sentence", "s.around")
-    slots = F.transform(tx.tokens(F.col("around")), lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.size(F.filter("slots", lambda s: s == k)).cast("double"))
-    return rows.withColumn("slots", slots).withColumn("vector", vector).drop("slots", "around")
+    return rows.withColumn("words", tx.tokens(F.col("around"))).withColumn("vector", bag(F.col("words"), width)).drop("words", "around")
 
 
 def semantic_cuts(vectors: DataFrame, percentile: float = 0.95) -> DataFrame:
@@ -290,6 +300,27 @@ def coherence(chunks: DataFrame, window: int = 3000) -> DataFrame:
     return each.groupBy("key").agg(F.least(F.greatest(mean, F.lit(0.0)), F.lit(1.0)).alias("coherence"))
 
 
+def gate_metrics(chunks: DataFrame, blocks: DataFrame, key: str, low: int = 100, high: int = 512) -> DataFrame:
+    """(key, size, whole, cohesion, coherence) of the chunks (key, ordinal, chunk) against the blocks (key, block); null where one does not apply.
+
+    The chunks are written to the shared folder first, as all four metrics read them.
+    """
+    chunks = written(chunks)
+    rows = chunks.select(F.col(key).alias("key"), "ordinal", "chunk").withColumn("words", tx.tokens(F.col("chunk"))).withColumn("vector", bag(F.col("words")))
+    size = chunks.groupBy(key).agg(size_share(F.char_length("chunk"), low, high).alias("size"))
+    inner = rows.select("key", F.col("ordinal").alias("chunk"), F.explode(tx.sentences(F.col("chunk"))).alias("s")).withColumn("words", tx.tokens(F.col("s")))
+    within = cohesion(inner.select("key", "chunk", bag(F.col("words")).alias("vector")), rows.select("key", F.col("ordinal").alias("chunk"), "vector"))
+    across = coherence(rows.select("key", "ordinal", F.size("words").alias("size"), "vector"))
+    out = size.join(whole_blocks(blocks, chunks, key, "block", "chunk").withColumnRenamed("share", "whole"), key, "left")
+    return out.join(within.withColumnRenamed("key", key), key, "left").join(across.withColumnRenamed("key", key), key, "left")
+
+
+def parse_counts(items: DataFrame) -> DataFrame:
+    """(source_doc_id, sections, chars, tables) of parsed documents, blank texts and repeats of an item aside."""
+    rows = sections(items)
+    return rows.groupBy("source_doc_id").agg((F.max("section") - F.min("section") + 1).alias("sections"), F.sum(F.char_length("text")).alias("chars"), F.count_if(F.col("role") == "table").alias("tables"))
+
+
 def weighted_gate(metrics: dict[str, Column], weight: float = 0.25) -> Column:
     """Mean of the metrics that are there; 0 if none is."""
     total = sum((F.coalesce(m * weight, F.lit(0.0)) for m in metrics.values()), F.lit(0.0))

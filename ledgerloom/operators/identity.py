@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import periods, rules
 from ..functions import text as tx
+from .chunking import sections
 
 
 def market_of(path: Column) -> Column:
@@ -15,6 +16,27 @@ def market_of(path: Column) -> Column:
     return F.when(first == "us", "US").when(first == "india", "IN")
 
 
+def required_market(path: Column) -> Column:
+    """As market_of, but anything else fails the query."""
+    return F.coalesce(market_of(path), F.raise_error(F.concat(F.lit("no market in the key "), F.coalesce(path, F.lit("null")))))
+
+
+def cover_texts(items: DataFrame, lead: int = 300) -> DataFrame:
+    """(source_doc_id, cover): of each section on the smallest page with a block its title and the start of its first block there.
+
+    Documents without pages give their first section. Documents with headings alone give the title of the first.
+    """
+    rows = sections(items).withColumn("heading", F.coalesce(F.col("role").isin("title", "subtitle"), F.lit(False)))
+    about = rows.groupBy("source_doc_id").agg(F.min(F.when(~F.col("heading"), F.col("page"))).alias("cover"), F.min("section").alias("first"))
+    rows = rows.join(about, "source_doc_id").where(F.col("heading") | F.col("cover").isNull() | (F.col("page") == F.col("cover")))
+    rows = rows.where(F.col("cover").isNotNull() | (F.col("section") == F.col("first")))
+    place, bare = F.struct("seq", "item_id"), F.trim("text")
+    block = F.min_by(F.when(~F.col("heading"), F.substring(bare, 1, lead)), F.when(~F.col("heading"), place)).alias("block")
+    each = rows.groupBy("source_doc_id", "section", "cover").agg(F.min_by(F.when(F.col("heading"), F.col("text")), F.when(F.col("heading"), place)).alias("title"), block)
+    each = each.where(F.col("block").isNotNull() | F.col("cover").isNull()).select("source_doc_id", F.struct("section", F.concat_ws(" \n ", "title", "block").alias("t")).alias("s"))
+    return each.groupBy("source_doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]), " \n ").alias("cover"))
+
+
 def upload_parts(path: Column) -> Column:
     """The first two parts of a key with three or more, else null."""
     parts = F.split(path, "/", 3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -24,6 +24,32 @@ def macro_status(stages: DataFrame, unit: str, group: str, status: str) -> DataF
     return stages.groupBy(unit, group).agg(best.alias("place")).select(unit, group, F.element_at(names, F.col("place")).alias("status"))
 
 
+def folded_states(events: DataFrame, unit: str, kind: str, seq: str, stage: str, status: str, outcome: str) -> DataFrame:
+    """(unit, stage, status, outcome): the latest of each since the unit's last upload; units that were never uploaded have no row.
+
+    kind is upload, node or done. An upload resets what came before, so one aggregate with the latest of each kind is enough.
+    """
+    of = lambda k, *c: F.max(F.when(F.col(kind) == k, F.struct(F.col(seq).alias("at"), *c)))
+    rows = events.groupBy(unit).agg(F.max(F.when(F.col(kind) == "upload", F.col(seq))).alias("reset"), of("node", F.col(stage).alias("stage"), F.col(status).alias("status")).alias("n"), of("done", F.col(outcome).alias("outcome")).alias("d")).where("reset is not null")
+    since = lambda c, f: F.when(F.col(f"{c}.at") > F.col("reset"), F.col(f"{c}.{f}")).alias(f)
+    return rows.select(unit, since("n", "stage"), since("n", "status"), since("d", "outcome"))
+
+
+def uploads_traced(docs: DataFrame, trace: DataFrame, limit: int = 100) -> DataFrame:
+    """(upload_id, place, doc_id, status, trace): documents of the latest uploads with their stages in order.
+
+    docs: (doc_id, upload_id, created, stage, outcome); trace: (doc_id, first_seq, stage, status), one row for each stage.
+    The limit counts uploads, as the listing does; their documents stay rows, so a large upload is not gathered.
+    """
+    latest = docs.groupBy("upload_id").agg(F.max("created").alias("at")).orderBy(F.desc("at"), "upload_id").limit(limit)
+    latest = latest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("at"), "upload_id"))).drop("at")
+    steps = trace.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_seq", "stage", "status"))).alias("s"))
+    steps = steps.select("doc_id", F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["stage"], x["status"])), ",").alias("trace"))
+    status = F.coalesce("outcome", F.when(F.col("stage").isNotNull(), "processing").otherwise("pending")).alias("status")
+    rows = docs.join(latest, "upload_id").join(steps, "doc_id", "left")
+    return rows.select("upload_id", "place", "doc_id", status, F.coalesce("trace", F.lit("")).alias("trace"))
+
+
 def subtree_sums(spans: DataFrame, node: str, parent: str, value: str) -> DataFrame:
     """(node, total): each span's value with those of all spans below it.
 

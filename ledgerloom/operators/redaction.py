@@ -63,6 +63,11 @@ def masked(text: str) -> tuple[str, list[str]]:
     return "".join(out) + text[at:], sorted(kinds)
 
 
+def kinds_union(masked_rows: DataFrame, by: str) -> DataFrame:
+    """(by, kinds): the sorted distinct kinds over all rows of a group; there are as many kinds as forms at most."""
+    return masked_rows.select(by, F.explode("kinds").alias("k")).groupBy(by).agg(F.array_sort(F.collect_set("k")).alias("kinds"))
+
+
 def mask(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, kinds) of every row; null stays null. Only texts with a digit or an @ go to Python."""
 

@@ -222,18 +222,97 @@ def size_compliance(t: Read) -> DataFrame:
 
 @query()
 def chunking_gate(t: Read) -> DataFrame:
-    """The better of recursive and semantic chunks per document by size and sentence integrity."""
+    """The better of recursive and semantic chunks per document by size, whole sentences, cohesion and coherence."""
     d = t("documents").where("text is not null")
     blocks = d.select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("block"))
     out = None
     for name, chunks in (("fixed", chunking.recursive_chunks(d, "doc_id", "text")), ("semantic", chunking.semantic_chunks(d, "doc_id", "text"))):
-        size = chunks.groupBy("doc_id").agg(chunking.size_share(F.char_length("chunk"), 100, 512).alias("size"))
-        whole = chunking.whole_blocks(blocks, chunks, "doc_id", "block", "chunk")
-        scored = size.join(whole, "doc_id", "left").select("doc_id", F.lit(name).alias("strategy"), F.round(chunking.weighted_gate({"size": F.col("size"), "whole": F.col("share")}), 6).alias("score"))
+        metrics = chunking.gate_metrics(chunks, blocks, "doc_id")
+        score = chunking.weighted_gate({m: F.col(m) for m in ("size", "whole", "cohesion", "coherence")})
+        scored = metrics.select("doc_id", F.lit(name).alias("strategy"), F.round(score, 6).alias("score"))
         out = scored if out is None else out.unionByName(scored)
     return chunking.choose(out, "doc_id")
 
 
+ALPHABET = "etaoinshrd"
+LETTERS = "[" + ", ".join(f"(length(text) - length(replace(text, '{c}', '')))::DOUBLE" for c in ALPHABET) + "]"
+
+
+@query(f"""WITH once AS (SELECT chunk_id, metadata.source_doc_id AS key, text FROM chunks WHERE chunk_id IS NOT NULL AND metadata.source_doc_id IS NOT NULL AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY text) = 1),
+c AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY chunk_id) AS ordinal, len({WORDS}) AS size, {LETTERS} AS vector FROM once),
+s AS (SELECT *, sum(size) OVER (PARTITION BY key ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS stop FROM c),
+p AS (SELECT a.key, a.ordinal AS start, b.vector FROM s a JOIN s b ON a.key = b.key AND b.ordinal >= a.ordinal AND b.stop <= a.stop - a.size + 300),
+w AS (SELECT key, start, [{", ".join(f"sum(vector[{k + 1}])" for k in range(len(ALPHABET)))}] AS total FROM p GROUP BY key, start HAVING count(*) >= 2)
+SELECT p.key, round(least(greatest(avg(CASE WHEN list_dot_product(p.vector, p.vector) * list_dot_product(total, total) = 0 THEN 0 ELSE list_cosine_similarity(p.vector, total) END), 0), 1), 6) AS coherence FROM p JOIN w ON p.key = w.key AND p.start = w.start GROUP BY p.key""")
+def document_coherence(t: Read) -> DataFrame:
+    """How close chunks are to the 300 words around them, with counts of letters for vectors."""
+    c = t("chunks").select("chunk_id", F.col("metadata.source_doc_id").alias("key"), "text").dropna()
+    c = c.groupBy("chunk_id").agg(F.min_by(F.struct("key", "text"), "text").alias("c")).select("chunk_id", "c.*")
+    vector = F.array(*[(F.char_length("text") - F.char_length(F.replace("text", F.lit(x), F.lit("")))).cast("double") for x in ALPHABET])
+    rows = c.select("key", F.col("chunk_id").alias("ordinal"), F.size(tx.tokens(F.col("text"))).alias("size"), vector.alias("vector"))
+    return chunking.coherence(rows, 300).select("key", F.round("coherence", 6).alias("coherence"))
+
+
+ITEMS = """once AS (SELECT * FROM parsed_items WHERE trim(coalesce(text, '')) <> '' AND source_doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY source_doc_id, seq, role NULLS FIRST, text, level NULLS FIRST, page NULLS FIRST) = 1),
+placed AS (SELECT *, coalesce(role IN ('title', 'subtitle'), false) AS heading, sum(coalesce(role IN ('title', 'subtitle'), false)::INT) OVER (PARTITION BY source_doc_id ORDER BY seq, item_id ROWS UNBOUNDED PRECEDING) AS section FROM once)"""
+
+
+@query(f"""WITH {ITEMS} SELECT source_doc_id, (max(section) - min(section) + 1)::INT AS sections, sum(length(text))::BIGINT AS chars, count(*) FILTER (role = 'table') AS tables FROM placed GROUP BY source_doc_id""")
+def parse_counts(t: Read) -> DataFrame:
+    """Sections, characters and tables of each parsed document."""
+    return chunking.parse_counts(t("parsed_items"))
+
+
+@query(f"""WITH {ITEMS}, about AS (SELECT source_doc_id, min(page) FILTER (NOT heading) AS cover, min(section) AS first FROM placed GROUP BY ALL),
+r AS (SELECT p.*, a.cover FROM placed p JOIN about a USING (source_doc_id) WHERE (p.heading OR a.cover IS NULL OR p.page = a.cover) AND (a.cover IS NOT NULL OR p.section = a.first)),
+e AS (SELECT source_doc_id, section, cover, arg_min(text, seq) FILTER (heading) AS title, arg_min(left(trim(text, ' '), 300), (seq, item_id)) FILTER (NOT heading) AS block FROM r GROUP BY ALL HAVING cover IS NULL OR block IS NOT NULL)
+SELECT source_doc_id, string_agg(concat_ws(' ' || chr(10) || ' ', title, block), ' ' || chr(10) || ' ' ORDER BY section) AS cover FROM e GROUP BY ALL""")
+def cover_texts(t: Read) -> DataFrame:
+    """The words on the cover of each parsed document, by which its kind is told."""
+    return identity.cover_texts(t("parsed_items"))
+
+
+@query("""SELECT chunk_id, concat_ws(' · ', nullif(metadata.company_name, ''), nullif(metadata.filing_type, ''), nullif(metadata.fiscal_year::VARCHAR, ''), nullif(metadata.section, '')) AS title,
+'/sources/' || metadata.source_doc_id || coalesce('#p' || metadata.page::VARCHAR, '') AS url FROM chunks""")
+def source_cards(t: Read) -> DataFrame:
+    """Title and address of the source of each chunk."""
+    m = lambda c: F.col(f"metadata.{c}")
+    title = tx.source_title(m("company_name"), m("filing_type"), F.lit(None).cast("string"), m("fiscal_year"), m("section"))
+    return t("chunks").select("chunk_id", title.alias("title"), tx.source_url(m("source_doc_id"), m("page")).alias("url"))
+
+
+# ---- XBRL
+
+INSTANCE = """concat('<xbrl><context id="c"><period>', if(contains(period, '/'), concat('<startDate>', split_part(period, '/', 1), '</startDate><endDate>', split_part(period, '/', 2), '</endDate>'), concat('<instant>', period, '</instant>')),
+'</period>', if(dimension is null, '', concat('<segment><xbrldi:explicitMember dimension="', split_part(dimension, '=', 1), '">', split_part(dimension, '=', 2), '</xbrldi:explicitMember></segment>')), '</context><unit id="u">',
+if(contains(unit, '/'), concat('<divide><unitNumerator><measure>iso4217:', split_part(unit, '/', 1), '</measure></unitNumerator><unitDenominator><measure>xbrli:', split_part(unit, '/', 2), '</measure></unitDenominator></divide>'), concat('<measure>iso4217:', unit, '</measure>')),
+'</unit><', concept, ' contextRef="c" unitRef="u" decimals="0">', value, '</', concept, '></xbrl>')"""
+PLAIN = r"regexp_{0}(period, '^[0-9-]+(/[0-9-]+)?$') AND (dimension IS NULL OR regexp_{0}(dimension, '^[A-Za-z0-9:_-]+=[A-Za-z0-9:_-]+$')) AND regexp_{0}(concept, '^[A-Za-z0-9-]+:[A-Za-z0-9]+$') AND regexp_{0}(unit, '^[A-Za-z]+(/[A-Za-z]+)?$')"
+
+
+@query(f"""SELECT fact_id, concept, period, dimension, unit, value FROM (SELECT DISTINCT fact_id, concept, period, dimension, unit, value FROM financial_facts WHERE fact_id IS NOT NULL AND value IS NOT NULL AND {PLAIN.format('matches')})
+QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY concept, period, unit, dimension NULLS FIRST, value) = 1""")
+def xbrl_resolved(t: Read) -> DataFrame:
+    """Every fact that is plainly written as an XBRL instance of its own, and read again with period, unit and dimension."""
+    f = t("financial_facts").where("fact_id is not null and value is not null").where(PLAIN.format("like"))
+    f = f.groupBy("fact_id").agg(F.min(F.struct("concept", "period", "unit", "dimension", "value")).alias("f")).select("fact_id", "f.*")
+    out = readers.xbrl_values(f.select("fact_id", F.expr(INSTANCE).alias("x")), "fact_id", "x")
+    return out.select("fact_id", "concept", "period", "dimension", "unit", "value")
+
+
+DEI = """concat('<xbrl><context id="c"><period><instant>2024-01-01</instant></period></context>', coalesce(concat('<dei:EntityCentralIndexKey contextRef="c">', cik, '</dei:EntityCentralIndexKey>'), ''),
+coalesce(concat('<dei:DocumentType contextRef="c"> ', filing_type, ' </dei:DocumentType>'), ''), coalesce(concat('<dei:DocumentFiscalYearFocus contextRef="c">', fiscal_year, '</dei:DocumentFiscalYearFocus>'), ''), '</xbrl>')"""
+
+
+@query(f"""WITH {FILINGS}, k AS (SELECT collection_id, min(cik) AS cik FROM collections WHERE collection_id IS NOT NULL GROUP BY ALL), g AS (SELECT filing_id, nullif(cik, '') AS cik, nullif(trim(filing_type), '') AS filing_type, fiscal_year FROM one_filing JOIN k USING (collection_id))
+SELECT filing_id, coalesce('us-cik-' || cik, 'us-' || filing_id) AS collection_id, filing_type, fiscal_year FROM g WHERE cik IS NOT NULL OR filing_type IS NOT NULL OR fiscal_year IS NOT NULL""")
+def dei_identified(t: Read) -> DataFrame:
+    """Entity facts of the filings, written as instances and read again, as rows of the warehouse."""
+    ciks = t("collections").where("collection_id is not null").groupBy("collection_id").agg(F.min("cik").alias("cik"))
+    g = facts.one_filing_each(t("filings")).join(ciks, "collection_id").select("filing_id", F.expr(DEI).alias("x"))
+    return readers.dei_rows(readers.dei_values(g, "filing_id", "x"), "filing_id").select("filing_id", "collection_id", "filing_type", "fiscal_year")
+
+
 @query(f"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '{SPACE}', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CASE WHEN length(t) > 60 THEN rtrim(left(t, 60)) || '…' ELSE t END AS title FROM t""")
 def auto_titles(t: Read) -> DataFrame:
@@ -584,6 +663,32 @@ def macro_status(t: Read) -> DataFrame:
     return monitor.macro_status(latest, "upload", "stage", "status")
 
 
+KINDS = "CASE event_type WHEN 'signup' THEN 'upload' WHEN 'purchase' THEN 'done' ELSE 'node' END"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, {KINDS} AS kind, {STAGE} AS stage, {STATUS} AS status FROM events), r AS (SELECT user_id, max(event_id) AS reset FROM e WHERE kind = 'upload' GROUP BY ALL)
+SELECT user_id, arg_max(stage, event_id) FILTER (kind = 'node') AS stage, arg_max(status, event_id) FILTER (kind = 'node') AS status, arg_max(status, event_id) FILTER (kind = 'done') AS outcome
+FROM r LEFT JOIN e USING (user_id) WHERE e.event_id >= reset GROUP BY user_id""")
+def monitor_states(t: Read) -> DataFrame:
+    """Latest stage and outcome of each unit since its last upload."""
+    e = t("events").select("user_id", "event_id", F.expr(KINDS).alias("kind"), F.expr(STAGE).alias("stage"), F.expr(STATUS).alias("status"))
+    return monitor.folded_states(e, "user_id", "kind", "event_id", "stage", "status", "status")
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, {KINDS} AS kind, {STAGE} AS stage, {STATUS} AS status FROM events),
+s AS (SELECT user_id, stage, min(event_id) AS first_seq, arg_max(status, event_id) AS status FROM e GROUP BY ALL), tr AS (SELECT user_id, string_agg(stage || ':' || status, ',' ORDER BY first_seq) AS trace FROM s GROUP BY ALL),
+d AS (SELECT user_id, user_id % 500 AS upload_id, max(event_id) AS created, arg_max(stage, event_id) FILTER (kind = 'node') AS stage, arg_max(status, event_id) FILTER (kind = 'done') AS outcome FROM e GROUP BY ALL),
+u AS (SELECT upload_id, (row_number() OVER (ORDER BY max(created) DESC, upload_id))::INT AS place FROM d GROUP BY upload_id QUALIFY place <= 100)
+SELECT upload_id, place, user_id AS doc_id, coalesce(outcome, CASE WHEN stage IS NOT NULL THEN 'processing' ELSE 'pending' END) AS status, coalesce(trace, '') AS trace FROM d JOIN u USING (upload_id) LEFT JOIN tr USING (user_id)""")
+def uploads_traced(t: Read) -> DataFrame:
+    """The hundred latest uploads with their documents and stages."""
+    e = t("events").select("user_id", "event_id", F.expr(KINDS).alias("kind"), F.expr(STAGE).alias("stage"), F.expr(STATUS).alias("status"))
+    of = lambda kind, c: F.max_by(F.when(F.col("kind") == kind, F.col(c)), F.when(F.col("kind") == kind, F.col("event_id")))
+    d = e.groupBy(F.col("user_id").alias("doc_id")).agg(F.max("event_id").alias("created"), of("node", "stage").alias("stage"), of("done", "status").alias("outcome")).withColumn("upload_id", F.col("doc_id") % 500)
+    trace = monitor.latest_stages(e, "user_id", "stage", "status", "event_id").withColumnRenamed("user_id", "doc_id")
+    return monitor.uploads_traced(d, trace)
+
+
 @query("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def events_tumbling(t: Read) -> DataFrame:
     out = ingest.tumbling(t("events").withColumn("ts", F.col("ts").cast("timestamp")))
@@ -629,6 +734,34 @@ def leaderboard(t: Read) -> DataFrame:
     return evaluation.leaderboard(scores, "doc_type", "accuracy")
 
 
+MARKED = " OR ".join(f"contains(lower(text), '{m}')" for m in evaluation.MARKUP)
+
+
+@query(f"""SELECT chunk_type, round(avg((text IS NOT NULL AND trim(text) <> '')::INT), 6) AS filled, round(coalesce(avg(({MARKED})::INT), 0), 6) AS markup FROM chunks GROUP BY chunk_type""")
+def chunk_health(t: Read) -> DataFrame:
+    """Shares of chunks that hold text, and that hold marks of markup."""
+    ok = F.coalesce(F.trim("text") != "", F.lit(False))
+    return t("chunks").groupBy("chunk_type").agg(F.round(evaluation.success_rate(ok), 6).alias("filled"), F.round(evaluation.markup_share(F.col("text")), 6).alias("markup"))
+
+
+@query(f"""WITH {FILINGS}, e AS (SELECT g.filing_id, regexp_replace(upper(filing_type), '/A$', '') AS family, fiscal_period, nullif(upper(trim(split_part(logical_key, '|', 2), ' ')), '') AS want_family, nullif(trim(regexp_extract(split_part(logical_key, '|', 3), '^ *(FY|Q[1-4]|H[12])', 1)), '') AS want_period FROM one_filing g)
+SELECT filing_id, round(CASE WHEN want_family IS NULL AND want_period IS NULL THEN 1.0::DOUBLE ELSE (coalesce(family = want_family, false)::INT + coalesce(fiscal_period = want_period, false)::INT) / ((want_family IS NOT NULL)::INT + (want_period IS NOT NULL)::INT) END, 6) AS accuracy FROM e""")
+def identity_accuracy(t: Read) -> DataFrame:
+    """How far form and period of each filing are those that its logical key names."""
+    g = facts.one_filing_each(t("filings"))
+    part = lambda n: F.get(F.split("logical_key", r"\|"), F.lit(n))
+    fields = [(rules.form_family(F.col("filing_type")), F.nullif(F.upper(F.trim(part(1))), F.lit(""))), (F.col("fiscal_period"), F.nullif(F.regexp_extract(part(2), "^ *(FY|Q[1-4]|H[12])", 1), F.lit("")))]
+    return g.select("filing_id", F.round(evaluation.identity_accuracy(fields), 6).alias("accuracy"))
+
+
+@query("""SELECT status, market, count(*) AS n FROM (SELECT DISTINCT * FROM collections) WHERE contains(lower(company), 'works') OR contains(lower(collection_id), 'foods') OR contains(lower(company), 'co') GROUP BY ALL""")
+def corpus_listed(t: Read) -> DataFrame:
+    """Companies with a given stretch in name or id, by status and market."""
+    rows = t("collections").distinct()
+    hit = F.lower("company").contains("works") | F.lower("collection_id").contains("foods") | F.lower("company").contains("co")
+    return rows.where(hit).groupBy("status", "market").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT c.collection_id, string_agg(g.filing_id, ',' ORDER BY g.filed_date DESC NULLS LAST, g.filing_id) AS filings, count(*) AS n FROM (SELECT DISTINCT collection_id FROM collections) c
 JOIN (SELECT DISTINCT filing_id, collection_id, filed_date FROM filings WHERE filing_id IS NOT NULL) g USING (collection_id) GROUP BY c.collection_id""")
 def filings_nested(t: Read) -> DataFrame:

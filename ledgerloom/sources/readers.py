@@ -68,13 +68,77 @@ def golden_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", "true").json(path)
 
 
+def _attribute(element: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(element, rf"\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
+
+
+def _elements(x: Column, name: str) -> Column:
+    """All elements of a name, whatever their prefix."""
+    return F.regexp_extract_all(x, F.lit(rf"(?s)(<(?:[\w.-]+:)?{name}\b[^>]*>.*?</(?:[\w.-]+:)?{name}>)"), 1)
+
+
+def xbrl_contexts(files: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, context, period, dimension): an instant or start/end, and the explicit and typed members as axis=member sorted by axis, null without any.
+
+    Dates are as filed, so nothing is taken off the end.
+    """
+    rows = files.select(key, F.explode(_elements(F.col(xml), "context")).alias("e"))
+    day = lambda name: F.nullif(F.regexp_extract("e", rf"<(?:[\w.-]+:)?{name}>\s*([^<\s]+)\s*<", 1), F.lit(""))
+    member = lambda m: F.concat(F.regexp_extract(m, r"dimension\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit("="), F.trim(F.regexp_replace(m, r"(?s)<[^>]*>", "")))
+    members = F.concat(_elements(F.col("e"), "explicitMember"), _elements(F.col("e"), "typedMember"))
+    dimension = F.nullif(F.array_join(F.array_sort(F.transform(members, member)), ";"), F.lit(""))
+    period = F.coalesce(day("instant"), F.concat(day("startDate"), F.lit("/"), day("endDate")))
+    return rows.select(key, _attribute(F.col("e"), "id").alias("context"), period.alias("period"), dimension.alias("dimension")).dropDuplicates([key, "context"])
+
+
+def xbrl_units(files: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, unit_id, unit): local names of the measures, joined by stars, with those below after a slash."""
+    rows = files.select(key, F.explode(_elements(F.col(xml), "unit")).alias("e"))
+    names = lambda c: F.array_join(F.regexp_extract_all(c, F.lit(r"measure[^>]*>\s*(?:[\w.-]+:)?([^<\s]+)\s*<"), 1), "*")
+    below = F.regexp_extract("e", r"(?s)<(?:[\w.-]+:)?unitDenominator\b.*", 0)
+    unit = F.concat_ws("/", names(F.regexp_replace("e", r"(?s)<(?:[\w.-]+:)?unitDenominator\b.*", "")), F.nullif(names(below), F.lit("")))
+    return rows.select(key, _attribute(F.col("e"), "id").alias("unit_id"), unit.alias("unit")).dropDuplicates([key, "unit_id"])
+
+
+def xbrl_elements(files: DataFrame, key: str, xml: str, known: bool = True) -> DataFrame:
+    """(key, pos, concept, context, unit_id, text, nil, period, dimension): the facts of plain instances in order.
+
+    A fact of an unknown context goes or, if not known, stays without period and dimension.
+    """
+    each = files.select(key, F.posexplode(F.regexp_extract_all(F.col(xml), F.lit(r"(<[\w.-]+:[\w.-]+\b[^<>]*\bcontextRef[^<>]*(?:/>|>[^<]*</))"), 1)).alias("pos", "e"))
+    text = F.trim(F.regexp_extract("e", r">([^<]*)</$", 1))
+    rows = each.select(key, "pos", F.regexp_extract("e", r"^<([\w.:-]+)", 1).alias("concept"), _attribute(F.col("e"), "contextRef").alias("context"), _attribute(F.col("e"), "unitRef").alias("unit_id"), text.alias("text"), F.coalesce(_attribute(F.col("e"), "nil").isin("true", "1"), F.lit(False)).alias("nil"))
+    return rows.join(xbrl_contexts(files, key, xml), [key, "context"], "inner" if known else "left")
+
+
+def xbrl_values(files: DataFrame, key: str, xml: str, known: bool = True) -> DataFrame:
+    """(key, concept, period, dimension, unit, value): numeric facts (of known contexts), the first of equal concept, period, dimension and unit."""
+    rows = xbrl_elements(files, key, xml, known).where("not nil and unit_id is not null").withColumn("value", F.col("text").try_cast("double")).where("value is not null")
+    rows = rows.join(xbrl_units(files, key, xml), [key, "unit_id"], "left").withColumn("unit", F.coalesce("unit", F.lit("")))
+    return rows.groupBy(key, "concept", "period", "dimension", "unit").agg(F.min_by("value", "pos").alias("value"))
+
+
+def dei_values(files: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, name, value): facts of the entity itself (prefix dei, no dimension, not blank), the first of each name."""
+    rows = xbrl_elements(files, key, xml).where("dimension is null and concept like 'dei:%' and text != ''")
+    return rows.groupBy(key, F.regexp_extract("concept", ":(.*)$", 1).alias("name")).agg(F.min_by("text", "pos").alias("value"))
+
+
+def dei_rows(dei: DataFrame, key: str) -> DataFrame:
+    """(key, collection_id, company, ticker, cik, filing_type, fiscal_year, fiscal_period) from (key, name, value).
+
+    Companies go by their CIK; a filing without one stands for itself.
+    """
+    of = lambda n: F.max(F.when(F.col("name") == n, F.col("value")))
+    rows = dei.groupBy(key).agg(of("EntityCentralIndexKey").alias("cik"), of("EntityRegistrantName").alias("company"), of("TradingSymbol").alias("ticker"), of("DocumentType").alias("filing_type"), of("DocumentFiscalYearFocus").try_cast("int").alias("fiscal_year"), of("DocumentFiscalPeriodFocus").alias("fiscal_period"))
+    collection = F.coalesce(F.concat(F.lit("us-cik-"), "cik"), F.concat(F.lit("us-"), F.col(key)))
+    return rows.select(key, collection.alias("collection_id"), "company", "ticker", "cik", "filing_type", "fiscal_year", "fiscal_period")
+
+
 def xbrl_facts(spark: SparkSession, path: str) -> DataFrame:
-    """(context, concept, unit, value) of the numeric elements of plain XBRL instances, read by Spark's XML source as text per file."""
+    """The numeric facts of the plain XBRL instances below a folder, by path; those of unknown contexts have no period."""
     files = objects(spark, path, "*.xml").select("path", F.decode("content", "UTF-8").alias("x"))
-    each = files.select("path", F.explode(F.regexp_extract_all("x", F.lit(r"<([\w.-]+:[\w.-]+[^<>]*contextRef[^<>]*>[^<]*)</"), 1)).alias("e"))
-    attr = lambda a: F.nullif(F.regexp_extract("e", rf"{a}=[\"']([^\"']*)[\"']", 1), F.lit(""))
-    rows = each.select("path", F.regexp_extract("e", r"^([\w.:-]+)", 1).alias("concept"), attr("contextRef").alias("context"), attr("unitRef").alias("unit"), F.regexp_extract("e", r">([^<]*)$", 1).try_cast("double").alias("value"))
-    return rows.where("value is not null and unit is not null").dropDuplicates(["path", "concept", "context", "unit"])
+    return xbrl_values(files, "path", "x", known=False)
 
 
 class _Blocks(HTMLParser):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,25 @@ def quarantine(rows: DataFrame, path: str, key: str, form: str, reason: str) ->
     rows.select(F.col(key).cast("string").alias("doc_id"), F.col(form).alias("detected_format"), F.lit(reason).alias("reason"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
 
 
+def fan_out(writers: dict[str, Callable[[DataFrame], None]]) -> Callable[[DataFrame, int], dict[str, str]]:
+    """A function for foreachBatch that hands a batch to every writer; one that fails is logged and does not keep the others from theirs.
+
+    It returns the failures by name. Writers must be idempotent, as a batch may come again.
+    """
+
+    def run(batch: DataFrame, number: int) -> dict[str, str]:
+        failed = {}
+        for name, write in writers.items():
+            try:
+                write(batch)
+            except Exception as e:
+                failed[name] = str(e)
+                logging.getLogger(__name__).warning("batch %s: writer %s failed: %s", number, name, e)
+        return failed
+
+    return run
+
+
 def mark_ingested(rows: DataFrame, path: str, hash_: str = "content_hash") -> None:
     """The ledger of contents that were processed; called after success."""
     append_new(rows.select(hash_, "doc_id"), path, hash_, ["doc_id"])
