@@ -145,13 +145,6 @@ def guarded_select(t: Read) -> DataFrame:
     return sqlguard.run(views["filings"].sparkSession, GUARDED, views)
 
 
-@query()
-def structured_answers(t: Read) -> DataFrame:
-    """Exact answers to the users' questions."""
-    asked = chat.one_message_each(t("chat_messages")).where("text is not null").select("id", "text")
-    return facts.answer_questions(asked, t("financial_facts"), t("filings"), t("collections"))
-
-
 # ---- documents and text
 
 
@@ -472,21 +465,37 @@ def vectors_upserted(t: Read) -> DataFrame:
     return facts.last_write_wins(c.limit(0), c, "chunk_id", [F.col("revision"), F.col("text"), F.col("chunk_type")]).select("chunk_id", "text", "chunk_type")
 
 
-@query()
+FLAT = "regexp_replace(coalesce(text, ''), '[\\t\\n\\x0b\\f\\r ]+', ' ', 'g')"
+
+
+@query(f"""WITH {BM25}, h AS (SELECT query, rank, trim({FLAT}, ' ') AS t FROM lexical JOIN documents ON key = doc_id WHERE rank <= 5)
+SELECT query, string_agg('[' || rank::VARCHAR || '] ' || CASE WHEN length(t) > 240 THEN rtrim(left(t, 240), ' ') || '…' ELSE t END, chr(10) ORDER BY rank) AS prompt FROM h GROUP BY query""")
 def answer_prompts(t: Read) -> DataFrame:
     """Numbered sources for each question."""
     hits = retrieval.bm25(t("documents"), _asked(t), "doc_id", "text")
     return retrieval.numbered_sources(hits, t("documents"), "doc_id", "text")
 
 
-@query()
+@query(f"""WITH {BM25}, h AS (SELECT l.query, key, rank AS old, list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')) AS want, coalesce(regexp_extract_all(lower(d.text), '[a-z0-9]+'), []) AS has FROM lexical l JOIN q USING (query) JOIN documents d ON key = doc_id),
+s AS (SELECT query, key, old, round(1 / (1 + exp(-CASE WHEN len(want) = 0 THEN 0 ELSE len(list_intersect(want, has)) / len(want) END)), 9) AS score FROM h)
+SELECT query, key, score, (row_number() OVER (PARTITION BY query ORDER BY score DESC, old, key))::INT AS rank FROM s QUALIFY rank <= 5""")
 def reranked(t: Read) -> DataFrame:
     """The lexical candidates of each question, scored again."""
     hits = retrieval.bm25(t("documents"), _asked(t), "doc_id", "text")
     return answering.rerank(hits, _asked(t), t("documents"), "doc_id", "text")
 
 
-@query()
+BARE = "regexp_replace({0}, '^[\\t\\n\\x0b\\f\\r ]+|[\\t\\n\\x0b\\f\\r ]+$', '', 'g')"
+LINE = f"list_filter(list_transform(string_split(d.text, chr(10)), lambda x: {BARE.format('x')}), lambda x: x <> '')[1]"
+FIRST = f"nullif({BARE.format(f"string_split(regexp_replace({LINE}, '([.!?])[\\t\\n\\x0b\\f\\r ]+([A-Z\"''(])', '\\1' || chr(1) || '\\2', 'g'), chr(1))[1]")}, '')"
+VERIFIED = f"""tried AS (SELECT l.query, l.key AS cited, l.rank::INT AS tries, {FIRST} || ' [' || l.rank::VARCHAR || ']' AS answer, d.text AS evidence FROM lexical l JOIN documents d ON l.key = d.doc_id WHERE l.rank <= {answering.ATTEMPTS}),
+nums AS (SELECT *, regexp_extract_all(regexp_replace(answer, '\\[\\d+\\]', ' ', 'g'), '(\\d[\\d,]*(?:\\.\\d+)?)', 1) AS nums FROM tried WHERE answer IS NOT NULL),
+g AS (SELECT *, round(CASE WHEN len(nums) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(nums, lambda x: contains(evidence, x))) / len(nums) END, 6) AS grounding FROM nums),
+best AS (SELECT * FROM g WHERE tries = 1 OR query NOT IN (SELECT query FROM g WHERE tries = 1 AND grounding >= {answering.BAR}) QUALIFY row_number() OVER (PARTITION BY query ORDER BY grounding DESC, tries) = 1),
+verified AS (SELECT q.query, CASE WHEN grounding >= {answering.BAR} THEN answer ELSE '{answering.ABSTAIN}' END AS answer, CASE WHEN grounding >= {answering.BAR} THEN cited END AS cited, CASE WHEN grounding >= {answering.BAR} THEN grounding ELSE 0.0::DOUBLE END AS grounding, coalesce(tries, 0) AS tries FROM q LEFT JOIN best USING (query))"""
+
+
+@query(f"WITH {BM25}, {VERIFIED} SELECT * FROM verified")
 def answers_verified(t: Read) -> DataFrame:
     """Extracted answers of the questions, checked against their evidence, with a second attempt where the first fails."""
     hits = cut_lineage(retrieval.bm25(t("documents"), _asked(t), "doc_id", "text"))
@@ -503,7 +512,8 @@ def chunk_cohesion(t: Read) -> DataFrame:
     return chunking.cohesion(one.select("id.key", F.col("id.segment").alias("chunk"), "vector"), whole.select("id.key", "id.chunk", "vector"))
 
 
-@query()
+@query(f"""WITH {BM25}, {VERIFIED}, m AS (SELECT query, unnest(list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: x::INT))) AS rank FROM verified)
+SELECT DISTINCT m.query, l.key FROM m JOIN lexical l ON m.query = l.query AND m.rank = l.rank""")
 def answer_citations(t: Read) -> DataFrame:
     """Sources that the numbered answers cite, out of their hits."""
     hits = cut_lineage(retrieval.bm25(t("documents"), _asked(t), "doc_id", "text"))
@@ -541,15 +551,34 @@ for _s in facts.SUFFIXES:
     CORE = f"regexp_replace({CORE}, ' {_s}$', '')"
 
 
-@query(f"""WITH {MESSAGES}, w AS (SELECT DISTINCT id, unnest(regexp_split_to_array(regexp_replace(lower(text), '''s|,', ' ', 'g'), '\\s+')) AS word FROM one_message WHERE text IS NOT NULL),
+NAMED = f"""w AS (SELECT DISTINCT id, unnest(regexp_split_to_array(regexp_replace(lower(text), '''s|,', ' ', 'g'), '\\s+')) AS word FROM one_message WHERE text IS NOT NULL),
 n AS (SELECT regexp_extract(trim({CORE}), '^\\S+') AS word, 1 AS phase, collection_id FROM collections WHERE company IS NOT NULL),
-k AS (SELECT lower(ticker) AS word, 0 AS phase, collection_id FROM collections UNION ALL SELECT * FROM n WHERE length(word) > 2)
-SELECT w.id, k.collection_id FROM w JOIN k ON w.word = k.word WHERE w.word <> '' QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY k.phase, k.collection_id) = 1""")
+k AS (SELECT lower(ticker) AS word, 0 AS phase, collection_id FROM collections UNION ALL SELECT * FROM n WHERE length(word) > 2),
+named AS (SELECT w.id, k.collection_id FROM w JOIN k ON w.word = k.word WHERE w.word <> '' QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY k.phase, k.collection_id) = 1)"""
+
+
+@query(f"WITH {MESSAGES}, {NAMED} SELECT * FROM named")
 def companies_mentioned(t: Read) -> DataFrame:
     asked = chat.one_message_each(t("chat_messages")).where("text is not null")
     return facts.companies_named(asked, t("collections"))
 
 
+CHOICES = ", ".join(f"('{m}', '{c}', {k})" for m, cs in rules.METRICS.items() for k, c in enumerate(cs))
+
+
+@query(f"""WITH {MESSAGES}, {FILINGS}, {NAMED}, asked AS (SELECT id, {METRIC} AS metric, collection_id, {YEAR} AS year FROM one_message JOIN named USING (id) WHERE metric IS NOT NULL),
+wanted AS (SELECT * FROM asked JOIN (VALUES {CHOICES}) v(metric, concept, choice) USING (metric)),
+usable AS (SELECT g.collection_id, x.*, {ANNUAL} AS annual, {ENDS} AS ends, year({ISO.format(ENDS)}) AS end_year FROM financial_facts x JOIN one_filing g USING (filing_id) WHERE x.dimension IS NULL AND x.period IS NOT NULL),
+top AS (SELECT id, metric, collection_id, year, concept, value, unit, period, end_year FROM wanted JOIN usable USING (collection_id, concept) WHERE year IS NULL OR year = end_year
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY choice, annual DESC, ends DESC, fact_id NULLS FIRST, value) = 1)
+SELECT id, metric, collection_id, year, concept, value, unit, period, metric || ' for ' || coalesce('FY' || end_year::VARCHAR, period) || ': ' ||
+CASE WHEN unit = 'USD' THEN '$' ELSE '' END || CASE WHEN value = floor(value) THEN format('{{:,.0f}}', value) ELSE format('{{:,.2f}}', value) END || CASE WHEN unit = 'USD' OR unit IS NULL THEN '' ELSE ' ' || unit END AS answer FROM top""")
+def structured_answers(t: Read) -> DataFrame:
+    """Exact answers to the users' questions."""
+    asked = chat.one_message_each(t("chat_messages")).where("text is not null").select("id", "text")
+    return facts.answer_questions(asked, t("financial_facts"), t("filings"), t("collections"))
+
+
 @query(f"""WITH {MESSAGES}, last AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS back FROM one_message WHERE session_id IS NOT NULL AND created_at IS NOT NULL QUALIFY back <= 6)
 SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY back DESC))::INT AS turn, id, role, text FROM last""")
 def recent_turns(t: Read) -> DataFrame:
@@ -633,7 +662,21 @@ def card_checks(t: Read) -> DataFrame:
     return rows.select("chunk_id", F.replace("d", F.lit("-"), F.lit("")).alias("number")).withColumn("valid", checksums.luhn(F.col("number")))
 
 
-@query()
+def _pentagon(a: int, b: int) -> int:
+    """Product of two symmetries of a pentagon, as maps of its corners: k turns by k, 5 + k turns and then flips."""
+    move = lambda s, x: (x + s) % 5 if s < 5 else (s - 5 - x) % 5
+    both = [move(a, move(b, x)) for x in range(5)]
+    return next(s for s in range(10) if [move(s, x) for x in range(5)] == both)
+
+
+_turns = [list(range(10))]
+for _ in range(7):
+    _turns.append([(1, 5, 7, 6, 2, 8, 3, 0, 9, 4)[x] for x in _turns[-1]])
+
+
+@query(f"""WITH n AS (SELECT id, regexp_replace(unnest(regexp_extract_all(text, '([2-9][0-9]{{3}}[- ]?[0-9]{{4}}[- ]?[0-9]{{4}})', 1)), '[- ]', '', 'g') AS number FROM chat_messages),
+t AS (SELECT id, number, list_transform(range(0, 12), lambda k: {_turns}[k % 8 + 1][number[12 - k]::INT + 1]) AS turned FROM n)
+SELECT id, number, list_reduce(list_prepend(0, turned), lambda a, x: {[[_pentagon(a, b) for b in range(10)] for a in range(10)]}[a + 1][x + 1]) = 0 AS valid FROM t""")
 def aadhaar_checks(t: Read) -> DataFrame:
     """Twelve-digit numbers of messages with the verdict on their check digit."""
     rows = t("chat_messages").select("id", F.explode(F.regexp_extract_all("text", F.lit("([2-9][0-9]{3}[- ]?[0-9]{4}[- ]?[0-9]{4})"), 1)).alias("d"))
