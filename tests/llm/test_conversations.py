@@ -92,3 +92,18 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 180)} | {300: 300, 301: 300}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_hot_components_keep_every_message(spark):
+    # one session holds most messages, half as a chain and half on its first message; every fourth one quotes the one before
+    rows, want = [], {}
+    for s, size in (("hot", 240), ("s1", 12), ("s2", 9)):
+        for n in range(size):
+            text, to = f"message {n} of {s}", f"{s}-{0 if n % 2 == 0 and s == 'hot' else n - 1:04}"
+            quotes = n % 4 == 3
+            meta = None if n == 0 or quotes else f'{{"reply_to": "{to}"}}'
+            rows.append((f"{s}-{n:04}", s if n == 0 else None, "user", f"> message {n - 1} of {s}\n{text}" if quotes else text, meta, at(n), "", ""))
+            want[f"{s}-{n:04}"] = s
+    random.Random(6).shuffle(rows)
+    once = conv.one_row_each(spark.createDataFrame(rows, M))
+    assert {r.id: r.conversation for r in conv.with_conversation(once).collect()} == want
