@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut_lineage, written
 
 #: Queries that are broadcast at a time.
 BLOCK = 4096
@@ -63,71 +64,74 @@ def asked_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
 
 
-def matched(docs: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, length, term, tf) of the documents' words that some query asks for.
+def inverse_frequencies(words: DataFrame, epsilon: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """(term, idf) of all terms, and one row (n, mean): texts and words a text. words: one array w for each text.
 
-    The asked words meet the words of a document before anything moves, so that of the corpus only what
-    matches is shuffled.
+    A negative idf becomes epsilon times the mean idf.
     """
-    words = docs.select(F.col(key).alias("key"), tx.tokens(F.col(text)).alias("w")).select("key", F.size("w").alias("length"), F.explode("w").alias("term"))
-    return words.join(asked_terms(queries).select("term").distinct(), "term", "left_semi").groupBy("key", "length", "term").agg(F.count("*").alias("tf"))
+    totals = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # one row on the right
+    idf = df.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean_idf = idf.agg(F.avg("idf").alias("mean_idf"))
+    idf = idf.crossJoin(F.broadcast(mean_idf)).withColumn("idf", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")))
+    return idf.select("term", "idf"), totals
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 20, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, among: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 20, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(query, key, score, rank): Okapi scores of documents that share a term with the query.
 
     Statistics cover all documents (an empty text is a document of length 0). A negative idf becomes
     epsilon times the mean idf; a term that a query repeats counts again. queries: (query, text).
-    among: (query, key) pairs that a query's filters let through; others are scored but not ranked.
     """
-    words = docs.select(tx.tokens(F.col(text)).alias("w"))
-    totals = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
-    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # one row on the right
-    idf = df.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean_idf = idf.agg(F.avg("idf").alias("mean_idf"))
-    idf = idf.crossJoin(F.broadcast(mean_idf)).withColumn("idf", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")))
-    weighted = asked_terms(queries).join(idf.select("term", "idf", "mean"), "term")
-    if among is None:
-        mean = totals.first()["mean"] or 1.0
-        weights = weighted.select("query", "term", (F.col("times") * F.col("idf")).alias("weight"))
-        return ranked(docs, weights, key, text, k, lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = matched(docs, queries, key, text).join(weighted, "term").groupBy("query", "key").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(scored.join(among, ["query", "key"], "left_semi"), k)
-
-
-def sparse(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 20, among: DataFrame | None = None) -> DataFrame:
-    """(query, key, score, rank): dot products of term counts over shared terms; among as in bm25."""
-    if among is None:
-        weights = asked_terms(queries).select("query", "term", F.col("times").cast("double").alias("weight"))
-        return ranked(docs, weights, key, text, k, lambda tf, length: tf)
-    hits = matched(docs, queries, key, text).join(asked_terms(queries), "term")
-    scored = hits.groupBy("query", "key").agg(F.sum(F.col("times") * F.col("tf")).cast("double").alias("score"))
-    return top_k(scored.join(among, ["query", "key"], "left_semi"), k)
-
-
-def scoped(questions: DataFrame, companies: DataFrame, chunks: DataFrame, key: str = "chunk_id", collection: str = "metadata.collection_id") -> DataFrame:
-    """(query, key): the chunks that each question may be answered from: those of the company it names, all chunks
-    of any company if it names none. companies: (query, collection_id), at most one row each."""
-    named = questions.select("query").join(companies, "query", "left")
-    of = chunks.select(F.col(key).alias("key"), F.col(collection).alias("collection_id")).where("key is not null").distinct()
-    some = named.where("collection_id is not null").join(of, "collection_id").select("query", "key")
-    return some.distinct()
-
-
-def fused_search(chunks: DataFrame, questions: DataFrame, companies: DataFrame, key: str = "chunk_id", text: str = "text", k: int = 20) -> DataFrame:
+    idf, totals = inverse_frequencies(docs.select(tx.tokens(F.col(text)).alias("w")), epsilon)
+    mean = totals.first()["mean"] or 1.0
+    weights = asked_terms(queries).join(idf, "term").select("query", "term", (F.col("times") * F.col("idf")).alias("weight"))
+    return ranked(docs, weights, key, text, k, lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)))
+
+
+def sparse(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 20) -> DataFrame:
+    """(query, key, score, rank): dot products of term counts over shared terms."""
+    weights = asked_terms(queries).select("query", "term", F.col("times").cast("double").alias("weight"))
+    return ranked(docs, weights, key, text, k, lambda tf, length: tf)
+
+
+def asked_alike(questions: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query, collection_id, terms) of the questions that differ in company or words, and (query, asked): which of
+    them each question is. terms: (term, times); companies: (query, collection_id), at most one row each."""
+    terms = asked_terms(questions).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("term", "times"))).alias("terms"))
+    alike = terms.join(companies.where("collection_id is not null"), "query").groupBy("collection_id", "terms").agg(F.min("query").alias("asked"), F.collect_list("query").alias("queries"))
+    alike = cut_lineage(alike)
+    return alike.select(F.col("asked").alias("query"), "collection_id", "terms"), alike.select(F.explode("queries").alias("query"), "asked")
+
+
+def fused_search(chunks: DataFrame, questions: DataFrame, companies: DataFrame, key: str = "chunk_id", text: str = "text", k: int = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, key, score, rank): lexical and sparse arms over the chunks of the company each question names,
     fused by reciprocal ranks, with superseded versions dropped. Questions that name no company have no scope
-    and are searched nowhere here."""
-    once = chunks.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(F.col(text).alias("text"), F.col("metadata.logical_key").alias("logical_key"), F.col("metadata.source_revision").alias("revision"))).alias("c")).select(key, "c.*")
-    among = scoped(questions, companies, chunks, key)
-    arms = [arm(once, questions, key, "text", k, among=among) for arm in (bm25, sparse)]
-    fused = fuse(arms, 2 * k)
-    versions = once.select(F.col(key).alias("key"), F.nullif(F.trim("logical_key"), F.lit("")).alias("logical_key"), "revision")
-    rows = fused.join(versions, "key")
+    and are searched nowhere here.
+
+    A question meets the chunks of its company alone, and like questions about a company are searched once. The
+    words of the chunks are written to the shared folder first, as statistics (over all chunks) and both arms read them.
+    """
+    row = F.struct(F.col(text).alias("text"), F.col("metadata.logical_key").alias("logical_key"), F.col("metadata.source_revision").alias("revision"))
+    once = chunks.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(row).alias("c"), F.collect_set("metadata.collection_id").alias("of"))
+    once = written(once.select("key", tx.tokens(F.col("c.text")).alias("w"), F.nullif(F.trim("c.logical_key"), F.lit("")).alias("logical_key"), "c.revision", "of"))
+    asked, which = asked_alike(questions, companies)
+    idf, totals = inverse_frequencies(once)
+    weighted = asked.select("query", "collection_id", F.explode("terms").alias("t")).select("query", "collection_id", "t.*").join(idf, "term")
+    weighted = weighted.groupBy("query", "collection_id").agg(F.collect_list(F.struct("term", "times", "idf")).alias("terms")).crossJoin(F.broadcast(totals))  # one row on the right
+    pairs = once.select("key", "w", F.explode("of").alias("collection_id")).join(weighted, "collection_id")
+    # all that is asked for of a text is counted in one go, and pairs without a shared word go at once
+    hits = F.transform("terms", lambda t: F.struct(t["times"].alias("times"), t["idf"].alias("idf"), (F.size("w") - F.size(F.array_remove("w", t["term"]))).alias("tf")))
+    part = lambda h: h["times"] * h["idf"] * h["tf"] * (k1 + 1) / (h["tf"] + k1 * (1 - b + b * F.size("w") / F.col("mean")))
+    none = F.struct(F.lit(0.0).alias("lexical"), F.lit(0.0).alias("sparse"))
+    sums = F.aggregate(F.filter(hits, lambda h: h["tf"] > 0), none, lambda acc, h: F.struct((acc["lexical"] + part(h)).alias("lexical"), (acc["sparse"] + h["times"] * h["tf"]).alias("sparse")))
+    scored = pairs.select("query", "key", F.inline(F.filter(F.array(sums), lambda s: s["sparse"] > 0)))
+    arms = [top_k(scored.select("query", "key", F.round(arm, 6).alias("score")), k) for arm in ("lexical", "sparse")]
+    rows = fuse(arms, 2 * k).join(once.select("key", "logical_key", "revision"), "key")
     top = rows.where("logical_key is not null").groupBy("query", "logical_key").agg(F.max("revision").alias("top"))
     kept = rows.join(top, ["query", "logical_key"], "left").where(F.col("logical_key").isNull() | F.col("revision").eqNullSafe(F.col("top")))
-    return top_k(kept.select("query", "key", "score"), k)
+    best = top_k(kept.select(F.col("query").alias("asked"), "key", "score"), k, "asked")
+    return which.join(best, "asked").select("query", "key", "score", "rank")
 
 
 class Best:

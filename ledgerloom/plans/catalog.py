@@ -412,9 +412,9 @@ def rrf_fused(t: Read) -> DataFrame:
 @query()
 def scoped_fused(t: Read) -> DataFrame:
     """Questions that name a company, answered from its chunks: both arms fused, old versions dropped."""
-    asked = chat.one_message_each(t("chat_messages")).where(F.col("text").startswith("Which risks"))
+    asked = cut_lineage(chat.one_message_each(t("chat_messages")).where(F.col("text").startswith("Which risks")).select("id", "text"))
     named = facts.companies_named(asked, t("collections")).withColumnRenamed("id", "query")
-    return retrieval.fused_search(t("chunks"), asked.select(F.col("id").alias("query"), "text"), cut_lineage(named))
+    return retrieval.fused_search(t("chunks"), asked.select(F.col("id").alias("query"), "text"), named)
 
 
 @query("""WITH p AS (SELECT q.vec_id AS query, e.vec_id AS key, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)

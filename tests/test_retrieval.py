@@ -134,3 +134,51 @@ def test_point_ids_and_judge_replies(spark):
     rows = [("It is 42 [1][2][1]", "42 and 7", "CONFIDENCE: 0.9\nUNSUPPORTED: 2"), ("It is 42 [1]", "7", "confidence: 0.8\nUnsupported: none"), ("No figure [3]", None, None), (None, None, "CONFIDENCE: 1")]
     out = answering.citations_verified(spark.createDataFrame(rows, "answer string, evidence string, reply string")).collect()
     assert [(r.confidence, r.citations) for r in out] == [(0.9, [1]), (0.0, [1]), (0.5, [3]), (1.0, [])]
+
+
+def shuffled_rows(spark):
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(n).shuffleWriteRecords() for n in range(stages.size()))
+
+
+def test_a_question_meets_only_the_chunks_of_its_company(spark):
+    dice = np.random.default_rng(8)
+    words = ["net", "debt", "rose", "of", "the", "plant", "again", "rare"]
+    say = lambda least, most: " ".join(dice.choice(words, dice.integers(least, most)))
+    texts = {f"k{n:03}": say(0, 12) for n in range(480)}
+    home = {key: n % 120 for n, key in enumerate(texts)}
+    asked = {q: f"of the debt of {say(1, 4)}" for q in range(240)}
+    asked[241] = asked[1]  # alike, and with the words turned round
+    asked[361] = " ".join(reversed(asked[1].split()))
+    rows = [(key, t, (f"c{home[key]}", None, None)) for key, t in texts.items()]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, metadata struct<collection_id: string, logical_key: string, source_revision: int>")
+    questions = spark.createDataFrame(list(asked.items()), "query bigint, text string")
+    companies = spark.createDataFrame([(q, f"c{q % 120}") for q in asked], "query bigint, collection_id string")
+    before = shuffled_rows(spark)
+    got = {(r.query, r["rank"]): (r.key, r.score) for r in retrieval.fused_search(chunks, questions, companies, k=3).collect()}
+    # 242 questions and 480 chunks make 116,160 pairs, 968 of them within a company
+    assert shuffled_rows(spark) - before < 20_000
+
+    split = {key: t.split() for key, t in texts.items()}
+    mean = sum(map(len, split.values())) / len(split)
+    df = Counter(w for ws in split.values() for w in set(ws))
+    idf = {w: math.log((len(split) - c + 0.5) / (c + 0.5)) for w, c in df.items()}
+    floor = 0.25 * sum(idf.values()) / len(idf)
+    want = {}
+    for q, t in asked.items():
+        arms = [{}, {}]
+        for key, ws in split.items():
+            tf = Counter(ws)
+            if home[key] == q % 120 and set(ws) & set(t.split()):
+                arms[0][key] = round(sum((floor if idf[w] < 0 else idf[w]) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for w in t.split() if w in idf), 6)
+                arms[1][key] = sum(tf[w] for w in t.split())
+        fused = Counter()
+        for arm in arms:
+            for n, key in enumerate(sorted(arm, key=lambda x: (-arm[x], x))[:3], 1):
+                fused[key] += 1 / (60 + n)
+        for n, (key, score) in enumerate(sorted(((key, round(s, 9)) for key, s in fused.items()), key=lambda x: (-x[1], x[0]))[:3], 1):
+            want[q, n] = (key, score)
+    assert got == want
