@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import written
 
 LADDER = ("\n\n", "\n", ". ", " ")
 #: Positions of a document that one task handles together; it changes how the work is spread, not what comes out.
@@ -300,21 +299,6 @@ def coherence(chunks: DataFrame, window: int = 3000) -> DataFrame:
     return each.groupBy("key").agg(F.least(F.greatest(mean, F.lit(0.0)), F.lit(1.0)).alias("coherence"))
 
 
-def gate_metrics(chunks: DataFrame, blocks: DataFrame, key: str, low: int = 100, high: int = 512) -> DataFrame:
-    """(key, size, whole, cohesion, coherence) of the chunks (key, ordinal, chunk) against the blocks (key, block); null where one does not apply.
-
-    The chunks are written to the shared folder first, as all four metrics read them.
-    """
-    chunks = written(chunks)
-    rows = chunks.select(F.col(key).alias("key"), "ordinal", "chunk").withColumn("words", tx.tokens(F.col("chunk"))).withColumn("vector", bag(F.col("words")))
-    size = chunks.groupBy(key).agg(size_share(F.char_length("chunk"), low, high).alias("size"))
-    inner = rows.select("key", F.col("ordinal").alias("chunk"), F.explode(tx.sentences(F.col("chunk"))).alias("s")).withColumn("words", tx.tokens(F.col("s")))
-    within = cohesion(inner.select("key", "chunk", bag(F.col("words")).alias("vector")), rows.select("key", F.col("ordinal").alias("chunk"), "vector"))
-    across = coherence(rows.select("key", "ordinal", F.size("words").alias("size"), "vector"))
-    out = size.join(whole_blocks(blocks, chunks, key, "block", "chunk").withColumnRenamed("share", "whole"), key, "left")
-    return out.join(within.withColumnRenamed("key", key), key, "left").join(across.withColumnRenamed("key", key), key, "left")
-
-
 def parse_counts(items: DataFrame) -> DataFrame:
     """(source_doc_id, sections, chars, tables) of parsed documents, blank texts and repeats of an item aside."""
     rows = sections(items)

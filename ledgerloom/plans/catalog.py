@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import checksums, periods, rules
 from ..functions import text as tx
 from ..functions.vectors import cosine
-from ..operators import answering, chat, chunking, evaluation, facts, identity, monitor, redaction, retrieval, sqlguard
+from ..operators import answering, chat, chunking, evaluation, facts, gate, identity, monitor, redaction, retrieval, sqlguard
 from ..session import cut_lineage, table
 from ..sources import readers
 from ..streaming import ingest
@@ -216,15 +216,9 @@ def size_compliance(t: Read) -> DataFrame:
 @query()
 def chunking_gate(t: Read) -> DataFrame:
     """The better of recursive and semantic chunks per document by size, whole sentences, cohesion and coherence."""
-    d = t("documents").where("text is not null")
-    blocks = d.select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("block"))
-    out = None
-    for name, chunks in (("fixed", chunking.recursive_chunks(d, "doc_id", "text")), ("semantic", chunking.semantic_chunks(d, "doc_id", "text"))):
-        metrics = chunking.gate_metrics(chunks, blocks, "doc_id")
-        score = chunking.weighted_gate({m: F.col(m) for m in ("size", "whole", "cohesion", "coherence")})
-        scored = metrics.select("doc_id", F.lit(name).alias("strategy"), F.round(score, 6).alias("score"))
-        out = scored if out is None else out.unionByName(scored)
-    return chunking.choose(out, "doc_id")
+    metrics = gate.gate_metrics(t("documents"), "doc_id", "text")
+    score = chunking.weighted_gate({m: F.col(m) for m in ("size", "whole", "cohesion", "coherence")})
+    return chunking.choose(metrics.select("doc_id", "strategy", F.round(score, 6).alias("score")), "doc_id")
 
 
 ALPHABET = "etaoinshrd"
