@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -41,25 +42,42 @@ FITTED = 30_000
 COSINE = 0.55
 #: Held-out items of one pass over the corpus, and windows of theirs compared at a time.
 ITEMS, AT_ONCE = 50_000, 8192
+#: Candidates that a task judges at a time.
+JUDGED = 20_000
 
+#: Characters without width, which stand inside words.
+WIDTHLESS = frozenset("\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff")
 #: Characters beyond ASCII that part words; all others beyond ASCII belong to words.
-PARTING = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u20a0-\u20cf\u2190-\u2bff\u3000-\u3003\u3008-\u3020\ufe0f\ufeff\uff01-\uff0f]+")
-#: Characters without width, which stand inside words, and marks that are no words: tags of any length and character references.
-WIDTHLESS = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
+PARTING = frozenset(filter(re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u20a0-\u20cf\u2190-\u2bff\u3000-\u3003\u3008-\u3020\ufe0f\ufeff\uff01-\uff0f]").match, map(chr, range(0x80, 0x10000)))) - WIDTHLESS
+#: Single letters beyond ASCII, which are no words of an item, but what garbled punctuation leaves.
+LONE = frozenset(chr(c).encode() for c in range(0x80, 0x800))
+#: Marks that are no words: tags of any length and character references.
 MARKUP = re.compile(r"</?[a-z](?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*>|&#?\w{2,8};")
 BLANKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def tokens(text: str) -> list[bytes]:
-    """Lower-case words as UTF-8; punctuation, white space and markup signs part them."""
+#: Words whose stretches are sought at a time.
+WORDS = 1_000_000
+
+
+def parted(text: str) -> list[bytes]:
+    """Lower-case words as UTF-8, lone letters included; punctuation, white space and markup signs part them."""
     low = text.lower()
     if "<" in low or "&" in low:
         low = MARKUP.sub(" ", low)
-    if low.isascii():
-        return low.encode().translate(BLANKS).split()
-    words = PARTING.sub(" ", WIDTHLESS.sub("", low)).encode("utf-8", "replace").translate(BLANKS).split()
-    # a single letter beyond ASCII is no word of an item, but what garbled punctuation leaves
-    return [w for w in words if len(w) != 2 or w[0] < 128]
+    if not low.isascii():
+        # few characters differ, so each is replaced in the whole text
+        there = set(low)
+        for c in there & WIDTHLESS:
+            low = low.replace(c, "")
+        for c in there & PARTING:
+            low = low.replace(c, " ")
+    return low.encode("utf-8", "replace").translate(BLANKS).split()
+
+
+def tokens(text: str) -> list[bytes]:
+    """The words of a text without lone letters."""
+    return [w for w in parted(text) if w not in LONE]
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: int = PASSAGE) -> np.ndarray:
@@ -70,8 +88,9 @@ def aligned(a: np.ndarray, b: np.ndarray, least: int = PASSAGE) -> np.ndarray:
     rows, n = b.shape
     score, start = [np.zeros(rows, np.int32)] * (n + 1), [np.zeros(rows, np.int32)] * (n + 1)
     found = np.zeros(rows, bool)
+    columns = np.ascontiguousarray(b.T)
     for i in range(a.shape[1]):
-        hit = (a[:, i, None] == b).T
+        hit = a[:, i] == columns
         diagonal, diagonal_start = np.zeros(rows, np.int32), np.full(rows, i, np.int32)
         left, left_start = np.zeros(rows, np.int32), np.full(rows, i + 1, np.int32)
         for j in range(n):
@@ -92,38 +111,51 @@ def aligned(a: np.ndarray, b: np.ndarray, least: int = PASSAGE) -> np.ndarray:
 
 
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of each row of a and b."""
-    long = [np.zeros(len(b), np.int32)] * (b.shape[1] + 1)
-    for i in range(a.shape[1]):
-        hit = (a[:, i, None] == b).T
-        diagonal = long[0]
-        for j in range(b.shape[1]):
-            up = long[j + 1]
-            long[j + 1] = np.maximum(np.where(hit[j], diagonal + 1, up), long[j])
-            diagonal = up
-    return long[-1]
+    """Length of the longest common subsequence of each row of a (64 words at most) and b.
+
+    A bit for each word of a; those at which the subsequence grows are cleared (Hyyroe's recurrence).
+    """
+    out = np.zeros(len(b), np.int32)
+    size = -(-a.shape[1] // 8)
+    for lo in range(0, len(b), 2000):
+        x, y = a[lo : lo + 2000], b[lo : lo + 2000]
+        hits, open_ = np.zeros((len(y), 8), np.uint8), np.full(len(y), 2**64 - 1, np.uint64)
+        for j in range(y.shape[1]):
+            hits[:, :size] = np.packbits(x == y[:, j, None], axis=1, bitorder="little")
+            hit = open_ & hits.view("<u8")[:, 0]
+            open_ = (open_ + hit) | (open_ - hit)
+        out[lo : lo + 2000] = np.bitwise_count(~open_)
+    return out
 
 
 def starts(n: int) -> np.ndarray:
     return np.arange(0, max(n - WINDOW + STRIDE, 1), STRIDE)
 
 
+def places(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) of all windows of texts with so many words: starts() of each."""
+    count = -(-np.maximum(lengths - WINDOW + STRIDE, 1) // STRIDE)
+    text = np.repeat(np.arange(len(lengths)), count)
+    return text, STRIDE * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
+
+
 class Items:
     """The held-out items of one block: vocabulary, word numbers, windows."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         words = [tokens(t) for _, t in rows]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in words for w in ws}))}
+        #: what texts are looked up in: -2 for what is no word
+        self.numbers = self.vocabulary | dict.fromkeys(LONE, -2)
         self.ids = [i for i, _ in rows]
         self.words = [np.array([self.vocabulary[w] for w in ws], np.int32) for ws in words]
         figure = np.array([w.isdigit() for w in sorted(self.vocabulary)] + [False])
         spans = [(k, s) for k, ws in enumerate(self.words) if len(ws) >= PASSAGE for s in starts(len(ws))]
         self.window_item = np.array([k for k, _ in spans], np.int32)
-        self.windows = [self.words[k][s : s + WINDOW] for k, s in spans]
         # the windows alone and with what stands around them; -2 beyond the item
         self.alone = padded([self.words[k] for k, _ in spans], [s for _, s in spans], 0, WINDOW, -2)
         self.around = padded([self.words[k] for k, _ in spans], [s for _, s in spans], WINDOW, 3 * WINDOW, -2)
-        self.figures = [np.unique(w[figure[w]]) for w in self.windows]
+        self.figures = [np.unique(w[(w >= 0) & figure[w]]) for w in self.alone]
 
 
 def padded(words: list[np.ndarray], at: list[int], before: int, size: int, other: int) -> np.ndarray:
@@ -136,49 +168,75 @@ def padded(words: list[np.ndarray], at: list[int], before: int, size: int, other
     return out
 
 
+def able(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, from, to) of the stretches whose windows can hold a passage, in texts of so many words one after another."""
+    text, place = places(lengths)
+    ends = np.cumsum(lengths)
+    lo = (ends - lengths)[text] + place
+    hi = np.minimum(lo + WINDOW, ends[text])
+    sums = np.concatenate(([0], np.cumsum(flat >= 0)))
+    good = sums[hi] - sums[lo] >= SHARED
+    text, lo, hi = text[good], lo[good], hi[good]
+    first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(lo, prepend=0) > WINDOW))
+    return text[first], lo[first], hi[np.append(first[1:], len(text))[: len(first)] - 1]
+
+
 def stretches(df: DataFrame, items, key: str, text: str) -> DataFrame:
     """(key, words): the stretches of each text whose windows can hold a passage; -1 is any other word."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = items.value.vocabulary.get
+        get = items.value.numbers.get
+
+        def cut(keys: pa.Array, rows: list[int], words: list[np.ndarray]) -> pa.RecordBatch:
+            flat, lengths = np.concatenate([np.zeros(0, np.int32), *words]), np.array([len(w) for w in words], np.int64)
+            at, lo, hi = able(flat, lengths)
+            size = hi - lo
+            offsets = np.concatenate(([0], np.cumsum(size)))
+            flat = flat[np.repeat(lo - offsets[:-1], size) + np.arange(offsets[-1])]
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(np.array(rows, np.int64)[at])), lists], names=["key", "words"])
+
         for batch in batches:
-            keys, out = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ws = tokens(t)
+            rows, words, waiting = [], [], 0
+            for row, t in enumerate(batch.column(1).to_pylist()):
+                ws = parted(t)
                 if len(ws) < SHARED:
                     continue
-                numbers = np.array([get(w, -1) for w in ws], np.int32)
-                at = starts(len(numbers))
-                sums = np.concatenate(([0], np.cumsum(numbers >= 0)))
-                able = sums[np.minimum(at + WINDOW, len(numbers))] - sums[at] >= SHARED
-                able = at[able]
-                if len(able):
-                    cuts = np.flatnonzero(np.diff(able) > WINDOW) + 1
-                    for part in np.split(able, cuts):
-                        keys.append(k)
-                        out.append(numbers[part[0] : part[-1] + WINDOW])
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-            flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-            words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), words], names=["key", "words"])
+                numbers = np.fromiter(map(get, ws, repeat(-1)), np.int32, len(ws))
+                rows.append(row)
+                words.append(numbers[numbers != -2])
+                waiting += len(ws)
+                if waiting >= WORDS:
+                    yield cut(batch.column(0), rows, words)
+                    rows, words, waiting = [], [], 0
+            yield cut(batch.column(0), rows, words)
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col(text).isNotNull() & F.col(key).isNotNull())
     return rows.mapInArrow(find, f"key {kind}, words array<int>")
 
 
-def windows_of(words: list[np.ndarray]) -> list[np.ndarray]:
-    return [w[s : s + WINDOW] for w in words for s in starts(len(w))]
+def windows_of(words: list[np.ndarray], before: int = 0, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(text, windows): a row for each window of each text, of `size` words from `before` words ahead of it; -1 beyond the text."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    text, place = places(lengths)
+    beyond = np.full(max(before, size), -1, np.int32)
+    flat = np.concatenate([beyond, *(x for w in words for x in (w, beyond))])
+    begin = np.cumsum(lengths + len(beyond)) - lengths
+    return text, np.lib.stride_tricks.sliding_window_view(flat, size)[begin[text] + place - before]
+
+
+def terms_of(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, terms, counts) of the words in rows of word numbers, in order; numbers below 0 are no terms."""
+    order = np.sort(windows, axis=1)
+    at = np.flatnonzero((order >= 0) & (np.diff(order, axis=1, prepend=-1) != 0))
+    row = at // order.shape[1]
+    return row, order.ravel()[at], np.minimum(np.append(at[1:], order.size)[: len(at)], (row + 1) * order.shape[1]) - at
 
 
-def sparse(windows: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sparse(windows: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row starts, terms, weights) of the windows' TF-IDF vectors of length 1."""
-    lengths = np.array([len(w) for w in windows])
-    row = np.repeat(np.arange(len(windows)), lengths)
-    flat = np.concatenate(windows)
-    row, flat = row[flat >= 0], flat[flat >= 0]
-    cell, count = np.unique(row.astype(np.int64) * len(idf) + flat, return_counts=True)
-    row, term = cell // len(idf), (cell % len(idf)).astype(np.int32)
+    row, term, count = terms_of(windows)
     weight = (1 + np.log(count)) * idf[term]
     first = np.searchsorted(row, np.arange(len(windows)))
     norm = np.sqrt(np.bincount(row, weight**2, len(windows)))
@@ -220,10 +278,10 @@ def transposed(first: np.ndarray, term: np.ndarray, weight: np.ndarray, dense: n
     into[term[order][begin]] += np.add.reduceat(dense[row[order]] * weight[order][:, None], begin, axis=0)
 
 
-def blocks(batches: Iterator[pd.DataFrame], size: int = 200) -> Iterator[tuple[list, list[np.ndarray]]]:
+def blocks(batches: Iterator[pd.DataFrame], size: int = 200) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     for pdf in batches:
         for k in range(0, len(pdf), size):
-            yield list(pdf["key"][k : k + size]), [np.asarray(w) for w in pdf["words"][k : k + size]]
+            yield pdf["key"].to_numpy()[k : k + size], [np.asarray(w) for w in pdf["words"][k : k + size]]
 
 
 def summed(rows: DataFrame, make, height: int, width: int) -> np.ndarray:
@@ -236,7 +294,7 @@ def summed(rows: DataFrame, make, height: int, width: int) -> np.ndarray:
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((height, width), np.float32)
         for _, words in blocks(batches):
-            make(windows_of(words), total)
+            make(windows_of(words)[1], total)
         used = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pd.DataFrame({"row": used, "v": pd.Series(list(total[used]), dtype=object)})
 
@@ -251,7 +309,7 @@ def summed(rows: DataFrame, make, height: int, width: int) -> np.ndarray:
     return total
 
 
-def latent_space(rows: DataFrame, windows: list[np.ndarray], passages: int, idf: np.ndarray, seed: int = 7) -> np.ndarray:
+def latent_space(rows: DataFrame, windows: np.ndarray, passages: int, idf: np.ndarray, seed: int = 7) -> np.ndarray:
     """Right singular vectors (vocabulary x rank) of the passages' and the items' windows by randomised SVD.
 
     rows: the sample, of so many passages; the items' windows weigh as much as all of them together.
@@ -287,59 +345,71 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def likely(held: Items, item_window: np.ndarray, words: list[np.ndarray], at: np.ndarray) -> np.ndarray:
-    """Candidates (window of an item; text and place of a passage) that share enough words in the same order."""
-    alone = padded(words, at, 0, WINDOW, -1)
-    some = np.flatnonzero((held.alone[item_window][:, :, None] == alone[:, None, :]).any(axis=2).sum(axis=1) >= COMMON)
-    return some[common(held.alone[item_window[some]], alone[some]) >= COMMON] if len(some) else some
-
-
-def checked(held: Items, item_window: np.ndarray, words: list[np.ndarray], at: np.ndarray) -> np.ndarray:
-    """Which candidates hold a passage of the item."""
-    hold = aligned(held.around[item_window], padded(words, at, WINDOW, 3 * WINDOW, -1))
+def checked(held: Items, item_window: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Which candidates (window of an item; passage with what stands around it) hold a passage of the item."""
+    hold = np.zeros(len(around), bool)
+    # an alignment that scores enough has as many words in common, in order
+    some = np.flatnonzero(common(held.around[item_window], around) >= PASSAGE - 3)
+    if len(some):
+        hold[some] = aligned(held.around[item_window[some]], around[some])
     # paraphrases: as many words of the item in its order, and all figures of its window near by
-    wide = padded(words, at, WINDOW // 2, 2 * WINDOW, -1)
-    for k in np.flatnonzero(~hold & (common(held.alone[item_window], wide) >= PASSAGE)):
-        hold[k] = np.isin(held.figures[item_window[k]], wide[k]).all()
+    rest = np.flatnonzero(~hold)
+    wide = around[rest, WINDOW // 2 : WINDOW // 2 + 2 * WINDOW]
+    for k in np.flatnonzero(common(held.alone[item_window[rest]], wide) >= PASSAGE):
+        hold[rest[k]] = np.isin(held.figures[item_window[rest[k]]], wide[k]).all()
     return hold
 
 
+def best_held(held: Items, pair: np.ndarray, near: np.ndarray, item_window: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Of each pair that has candidates which hold, the one with the highest cosine.
+
+    The best of each pair is checked first; the others, only where it doesn't hold.
+    """
+    order = np.lexsort((-near, pair))
+    first = np.diff(pair[order], prepend=-1) != 0
+    best, rest = order[first], order[~first]
+    good = best[checked(held, item_window[best], around[best])]
+    rest = rest[~np.isin(pair[rest], pair[good])]
+    rest = rest[checked(held, item_window[rest], around[rest])]
+    return np.concatenate((good, rest[np.diff(pair[rest], prepend=-1) != 0]))
+
+
 def candidates_checked(rows: DataFrame, items, idf: np.ndarray, space: np.ndarray) -> DataFrame:
     """(key, item, cosine) of the stretches that hold a passage: every passage against every window of the items."""
     context = rows.sparkSession.sparkContext
-    query = context.broadcast(unit(times(*sparse(items.value.windows, idf), space)).astype(np.float32))
+    query = context.broadcast(unit(times(*sparse(items.value.alone, idf), space)).astype(np.float32))
     shared = context.broadcast(space)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, q, basis = items.value, query.value, shared.value
+        owner = np.array(held.ids)[held.window_item]
         waiting: list[tuple] = []
 
         def judged() -> pd.DataFrame:
-            found: dict[tuple, float] = {}
+            out = pd.DataFrame(columns=["key", "item", "cosine"])
             if waiting:
-                keys, words, at, windows, near = zip(*waiting)
-                windows = np.array(windows)
-                good = checked(held, windows, words, np.array(at))
-                for k in np.flatnonzero(good):
-                    pair = keys[k], held.ids[held.window_item[windows[k]]]
-                    found[pair] = max(found.get(pair, 0.0), near[k])
+                keys, windows, near, around = (np.concatenate(x) for x in zip(*waiting))
+                pair = pd.DataFrame({"key": keys, "item": owner[windows]}).groupby(["key", "item"], sort=False, dropna=False).ngroup().to_numpy()
+                good = best_held(held, pair, near, windows, around)
+                out = pd.DataFrame({"key": keys[good], "item": owner[windows[good]], "cosine": near[good].astype(float)})
             waiting.clear()
-            return pd.DataFrame([(*pair, c) for pair, c in found.items()], columns=["key", "item", "cosine"])
+            return out
 
         for keys, words in blocks(batches):
-            text = np.repeat(np.arange(len(words)), [len(starts(len(w))) for w in words])
-            place = np.concatenate([starts(len(w)) for w in words])
-            passages = unit(times(*sparse([words[k][s : s + WINDOW] for k, s in zip(text, place)], idf), basis)).astype(np.float32)
+            text, around = windows_of(words, WINDOW, 3 * WINDOW)
+            alone = around[:, WINDOW : 2 * WINDOW]
+            passages = unit(times(*sparse(alone, idf), basis)).astype(np.float32)
             for lo in range(0, len(q), AT_ONCE):
-                near = passages @ q[lo : lo + AT_ONCE].T
-                n, m = np.nonzero(near >= COSINE)
+                near = (passages @ q[lo : lo + AT_ONCE].T).ravel()
+                at = np.flatnonzero(near >= COSINE)
+                n, m = np.divmod(at, min(AT_ONCE, len(q) - lo))
                 for part in range(0, len(n), 20_000):
-                    some_n, some_m = n[part : part + 20_000], m[part : part + 20_000]
-                    for k in likely(held, some_m + lo, [words[k] for k in text[some_n]], place[some_n]):
-                        a, b = some_n[k], some_m[k]
-                        waiting.append((keys[text[a]], words[text[a]], int(place[a]), int(b) + lo, float(near[a, b])))
-            if len(waiting) >= 5000:
-                yield judged()
+                    some_n, some_m = n[part : part + 20_000], m[part : part + 20_000] + lo
+                    k = np.flatnonzero(common(held.alone[some_m], alone[some_n]) >= COMMON)
+                    if len(k):
+                        waiting.append((keys[text[some_n[k]]], some_m[k], near[at[part : part + 20_000][k]], around[some_n[k]]))
+                        if sum(len(x[1]) for x in waiting) >= JUDGED:
+                            yield judged()
         yield judged()
 
     return rows.mapInPandas(search, f"key {rows.schema['key'].dataType.simpleString()}, item bigint, cosine double")
@@ -362,25 +432,23 @@ def find_leaks(df: DataFrame, held_out: DataFrame, key: str = "doc_id", text: st
     for part in range(parts):
         rows = held.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).orderBy("item", "t").collect()
         block = Items([tuple(r) for r in rows])
-        if not block.windows:
+        if not len(block.alone):
             continue
         items = spark.sparkContext.broadcast(block)
         regions = cut_lineage(stretches(df, items, key, text))
         terms = len(block.vocabulary)
 
         def frequency(windows, into):
-            seen = np.sort(padded(windows, [0] * len(windows), 0, WINDOW, -1), axis=1)
-            first = (seen >= 0) & (np.diff(seen, axis=1, prepend=-1) != 0)
-            into[:, 0] += np.bincount(seen[first], minlength=len(into))
+            into[:, 0] += np.bincount(terms_of(windows)[1], minlength=len(into))
             into[0, 1] += len(windows)
 
         counts = summed(regions, frequency, terms, 2)
         passages = int(counts[:, 1].sum())
-        frequency(block.windows, counts)
+        frequency(block.alone, counts)
         idf = np.maximum(np.log((1 + counts[0, 1]) / (1 + counts[:, 0])), 0.05).astype(np.float32)
         share = min(1.0, FITTED / max(passages, 1))
         sample = regions.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * share))
-        space = latent_space(sample, block.windows, max(int(passages * share), 1), idf)
+        space = latent_space(sample, block.alone, max(int(passages * share), 1), idf)
         hits = candidates_checked(regions, items, idf, space)
         out = hits if out is None else out.unionByName(hits)
     if out is None:

@@ -1,4 +1,7 @@
 import random
+from collections import Counter
+
+from pyspark.sql import types as T
 
 from ledgerloom.llm import leakage as leak
 
@@ -144,6 +147,85 @@ def test_planted_passages(spark):
     assert got == truth
 
 
+class Here:
+    """A table whose mapInPandas gives the function itself, so that a pass runs in this process."""
+
+    sparkSession = sparkContext = property(lambda self: self)
+    schema = {"key": type("Field", (), {"dataType": T.LongType()})}
+
+    def broadcast(self, value):
+        return type("Shared", (), {"value": value})
+
+    def mapInPandas(self, function, schema):
+        return function
+
+
+def test_one_alignment_settles_a_pair(monkeypatch):
+    """Of the many windows in which a pair meets only the nearest is aligned, and none with too few words in common."""
+    calls, held = [], leak.Items(ITEMS)
+    aligned = leak.aligned
+    monkeypatch.setattr(leak, "aligned", lambda a, b: calls.append(len(b)) or aligned(a, b))
+    number = lambda ws: leak.np.array([held.vocabulary.get(w.encode(), -1) for w in ws], leak.np.int32)
+    whole = [number(["?"] * 9 + passage(k, 0, 40) + ["?"] * 9) for k in range(30)]
+    short = [number(["?"] * 9 + passage(k, 8, 8) + ["?"] * 9) for k in range(30)]
+    terms = len(held.vocabulary)
+    run = leak.candidates_checked(Here(), Here().broadcast(held), leak.np.ones(terms, leak.np.float32), leak.np.eye(terms, dtype=leak.np.float32))
+    rows = leak.pd.DataFrame({"key": range(60), "words": whole + short})
+    got = leak.pd.concat(list(run(iter([rows]))))
+    assert sorted(zip(got["key"], got["item"])) == [(k, k) for k in range(30)]
+    assert sum(calls) == 30
+    windows = leak.unit(leak.times(*leak.sparse(held.alone, leak.np.ones(terms, leak.np.float32)), leak.np.eye(terms)))
+    for key, cosine in zip(got["key"], got["cosine"]):
+        texts = [whole[key][s : s + 20] for s in leak.starts(58)]
+        own = leak.unit(leak.np.array([[(t == w).sum() > 0 for w in range(terms)] for t in texts]) * 1.0)
+        assert abs(cosine - (own @ windows.T)[:, held.window_item == key].max()) < 0.1
+
+
+def test_pairs_keep_their_best_that_holds():
+    """A nearer candidate that doesn't hold neither hides nor lifts one that does."""
+    held = leak.Items(ITEMS)
+    full, none = held.around[0], leak.np.where(leak.np.arange(60) < 0, held.around[0], -1)
+    cases = [(5, 0.9, none), (5, 0.7, full), (5, 0.8, full), (2, 0.6, none), (3, 0.95, full), (3, 0.56, full), (2, 0.99, none)]
+    pair, near, around = (leak.np.array(x) for x in zip(*cases))
+    good = leak.best_held(held, pair, near, leak.np.zeros(7, int), around)
+    assert sorted(zip(pair[good], near[good])) == [(3, 0.95), (5, 0.8)]
+
+
+def test_stretches_of_many_texts_as_of_each_alone():
+    dice = random.Random(5)
+    texts = [leak.np.array([dice.choice([-1, -1, 3] if k // 40 % 3 else [1, 2, -1]) for k in range(dice.choice([0, 1, 8, 9, 20, 21, 28, 29, 400]))], leak.np.int32) for _ in range(300)]
+    want = []
+    for k, words in enumerate(texts):
+        good = [s for s in leak.starts(len(words)) if (words[s : s + 20] >= 0).sum() >= leak.SHARED]
+        for n, s in enumerate(good):
+            if n and s - good[n - 1] <= 20:
+                want[-1] = (k, want[-1][1], min(s + 20, len(words)))
+            else:
+                want.append((k, s, min(s + 20, len(words))))
+    sizes = leak.np.array([len(t) for t in texts])
+    text, lo, hi = leak.able(leak.np.concatenate(texts), sizes)
+    before = (leak.np.cumsum(sizes) - sizes)[text]
+    assert list(zip(text, lo - before, hi - before)) == want and len(want) > 100
+    text, windows = leak.windows_of(texts, 20, 60)
+    assert [list(w) for w in windows] == [[int(t[p]) if 0 <= p < len(t) else -1 for p in range(s - 20, s + 40)] for t in texts for s in leak.starts(len(t))]
+    assert list(text) == [k for k, t in enumerate(texts) for _ in leak.starts(len(t))]
+    row, term, count = leak.terms_of(windows)
+    assert list(zip(row, term, count)) == [(k, w, n) for k, x in enumerate(windows) for w, n in sorted(Counter(x[x >= 0].tolist()).items())]
+
+
+def test_characters_that_part_words_or_have_no_width():
+    assert leak.tokens("Na\u00efve\u2014mi\u00adni\u200bmum \u201cR\u00e9sum\u00e9\u201d \u00e2 \u00e2\u20ac\u2019s caf\u00e9\u3000\u5e74 \U0001f600\ufeffx") == [
+        w.encode() for w in ("na\u00efve", "minimum", "r\u00e9sum\u00e9", "s", "caf\u00e9", "\u5e74", "\U0001f600x")]
+
+
+def test_lone_letters_are_dropped_before_the_search(spark):
+    """Letters that garbled punctuation leaves between words stand for nothing, so the passage stays whole."""
+    words = [w for p in passage(4, 2, 14) for w in (p, "\u00e2", "\u00e3")]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(passage(5, 2, 8)))], "doc_id bigint, text string")
+    held = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    assert [(r.doc_id, r.item) for r in leak.find_leaks(docs, held).collect()] == [(1, 4)]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     held = spark.createDataFrame(ITEMS, "item_id bigint, text string")
