@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import cut_lineage, written
+from ..session import written
 
 #: Queries that are broadcast at a time.
 BLOCK = 4096
+#: Chunks of a company that are searched at a time.
+CHUNKS = 512
 #: Words as in functions.text.tokens, of text in lower case.
 WORD = re.compile("[a-z0-9]+")
 
@@ -95,13 +97,12 @@ def sparse(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 20
     return ranked(docs, weights, key, text, k, lambda tf, length: tf)
 
 
-def asked_alike(questions: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(query, collection_id, terms) of the questions that differ in company or words, and (query, asked): which of
-    them each question is. terms: (term, times); companies: (query, collection_id), at most one row each."""
-    terms = asked_terms(questions).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("term", "times"))).alias("terms"))
-    alike = terms.join(companies.where("collection_id is not null"), "query").groupBy("collection_id", "terms").agg(F.min("query").alias("asked"), F.collect_list("query").alias("queries"))
-    alike = cut_lineage(alike)
-    return alike.select(F.col("asked").alias("query"), "collection_id", "terms"), alike.select(F.explode("queries").alias("query"), "asked")
+def asked_alike(questions: DataFrame, companies: DataFrame) -> DataFrame:
+    """(asked, collection_id, terms, queries): questions about one company in the same words, under one number. terms: a
+    word as often as it is asked; companies: (query, collection_id), at most one row each."""
+    words = questions.select("query", F.array_sort(tx.tokens(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
+    alike = words.join(companies.where("collection_id is not null"), "query").groupBy("collection_id", "terms").agg(F.collect_list("query").alias("queries"))
+    return written(alike.select(F.monotonically_increasing_id().alias("asked"), "collection_id", "terms", "queries"))
 
 
 def fused_search(chunks: DataFrame, questions: DataFrame, companies: DataFrame, key: str = "chunk_id", text: str = "text", k: int = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -109,29 +110,66 @@ def fused_search(chunks: DataFrame, questions: DataFrame, companies: DataFrame,
     fused by reciprocal ranks, with superseded versions dropped. Questions that name no company have no scope
     and are searched nowhere here.
 
-    A question meets the chunks of its company alone, and like questions about a company are searched once. The
-    words of the chunks are written to the shared folder first, as statistics (over all chunks) and both arms read them.
+    A question meets the chunks of its company alone, and like questions about a company are searched once. Questions
+    and chunks of a company meet in cells of bounded size, which send on what is among the best k of an arm there. The
+    words of the chunks are written to the shared folder first, as statistics (over all chunks) and the search read them.
     """
     row = F.struct(F.col(text).alias("text"), F.col("metadata.logical_key").alias("logical_key"), F.col("metadata.source_revision").alias("revision"))
     once = chunks.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(row).alias("c"), F.collect_set("metadata.collection_id").alias("of"))
     once = written(once.select("key", tx.tokens(F.col("c.text")).alias("w"), F.nullif(F.trim("c.logical_key"), F.lit("")).alias("logical_key"), "c.revision", "of"))
-    asked, which = asked_alike(questions, companies)
+    alike = asked_alike(questions, companies)
     idf, totals = inverse_frequencies(once)
-    weighted = asked.select("query", "collection_id", F.explode("terms").alias("t")).select("query", "collection_id", "t.*").join(idf, "term")
-    weighted = weighted.groupBy("query", "collection_id").agg(F.collect_list(F.struct("term", "times", "idf")).alias("terms")).crossJoin(F.broadcast(totals))  # one row on the right
-    pairs = once.select("key", "w", F.explode("of").alias("collection_id")).join(weighted, "collection_id")
-    # all that is asked for of a text is counted in one go, and pairs without a shared word go at once
-    hits = F.transform("terms", lambda t: F.struct(t["times"].alias("times"), t["idf"].alias("idf"), (F.size("w") - F.size(F.array_remove("w", t["term"]))).alias("tf")))
-    part = lambda h: h["times"] * h["idf"] * h["tf"] * (k1 + 1) / (h["tf"] + k1 * (1 - b + b * F.size("w") / F.col("mean")))
-    none = F.struct(F.lit(0.0).alias("lexical"), F.lit(0.0).alias("sparse"))
-    sums = F.aggregate(F.filter(hits, lambda h: h["tf"] > 0), none, lambda acc, h: F.struct((acc["lexical"] + part(h)).alias("lexical"), (acc["sparse"] + h["times"] * h["tf"]).alias("sparse")))
-    scored = pairs.select("query", "key", F.inline(F.filter(F.array(sums), lambda s: s["sparse"] > 0)))
-    arms = [top_k(scored.select("query", "key", F.round(arm, 6).alias("score")), k) for arm in ("lexical", "sparse")]
-    rows = fuse(arms, 2 * k).join(once.select("key", "logical_key", "revision"), "key")
-    top = rows.where("logical_key is not null").groupBy("query", "logical_key").agg(F.max("revision").alias("top"))
-    kept = rows.join(top, ["query", "logical_key"], "left").where(F.col("logical_key").isNull() | F.col("revision").eqNullSafe(F.col("top")))
-    best = top_k(kept.select(F.col("query").alias("asked"), "key", "score"), k, "asked")
-    return which.join(best, "asked").select("query", "key", "score", "rank")
+    mean = totals.first()["mean"] or 1.0
+    said = once.where(F.size("w") > 0).select("key", F.array_join("w", " ").alias("words"), "logical_key", "revision", F.explode("of").alias("collection_id"))
+    # a company has so many parts of chunks and of questions, and a cell for each two of them
+    parts = lambda rows, most, name: rows.groupBy("collection_id").agg(F.ceil(F.count("*") / most).alias(name))
+    sizes = parts(said, CHUNKS, "down").join(parts(alike, BLOCK, "across"), "collection_id")
+    own = lambda name, n: F.pmod(F.xxhash64(name), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    docs = said.join(sizes, "collection_id").select("collection_id", own("key", "down").alias("part"), each("across").alias("block"), "key", "words", "logical_key", "revision")
+    asked = alike.join(sizes, "collection_id").select("collection_id", each("down").alias("part"), own("asked", "across").alias("block"), "asked", "terms")
+    asked = asked.withColumn("term", F.explode("terms")).drop("terms").join(idf, "term")
+
+    def search(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        docs = docs.sort_values("key")  # ties go to the smaller key
+        words = [w.split(" ") for w in docs["words"]]
+        there = {w for ws in words for w in ws}
+        asked = asked[asked["term"].isin(there)]
+        term, terms = pd.factorize(asked["term"])
+        query, names = pd.factorize(asked["asked"])
+        number = {t: n for n, t in enumerate(terms)}
+        weight = np.zeros(len(terms))
+        weight[term] = asked["idf"].to_numpy()
+        count = np.zeros((len(words), len(terms)))
+        for n, ws in enumerate(words):
+            np.add.at(count[n], [number[w] for w in ws if w in number], 1)
+        length = np.array([len(w) for w in words], np.float64)[:, None]
+        share = weight * count * (k1 + 1) / (count + k1 * (1 - b + b * length / mean))
+        out = []
+        for lo in range(0, max(len(names), 1), 256):  # what is multiplied at a time
+            some = (query >= lo) & (query < lo + 256)
+            times = np.zeros((len(terms), len(names[lo : lo + 256])))
+            np.add.at(times, (term[some], query[some] - lo), 1)
+            sparse = (count @ times).T
+            lexical = np.round((share @ times).T, 6)
+            best = np.zeros(sparse.shape, bool)
+            for arm in (lexical, sparse):
+                np.put_along_axis(best, np.argsort(np.where(sparse > 0, -arm, np.inf), axis=1, kind="stable")[:, :k], True, 1)
+            q, d = np.nonzero(best & (sparse > 0))
+            hits = docs[["key", "logical_key", "revision"]].iloc[d].reset_index(drop=True)
+            out.append(hits.assign(asked=names[lo + q], lexical=lexical[q, d], sparse=sparse[q, d]))
+        return pd.concat(out)
+
+    cell = ("collection_id", "part", "block")
+    kinds = f"asked bigint, lexical double, sparse double, key {said.schema['key'].dataType.simpleString()}, logical_key string, revision {said.schema['revision'].dataType.simpleString()}"
+    hits = docs.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInPandas(search, kinds)
+    place = lambda arm: F.row_number().over(Window.partitionBy("asked").orderBy(F.col(arm).desc(), "key"))
+    of_arm = lambda arm: F.when(F.col(arm) <= k, 1.0 / (60 + F.col(arm))).otherwise(0.0)
+    rows = hits.withColumn("lexical", place("lexical")).withColumn("sparse", place("sparse")).where((F.col("lexical") <= k) | (F.col("sparse") <= k))
+    rows = rows.select("asked", "key", "logical_key", "revision", F.round(of_arm("lexical") + of_arm("sparse"), 9).alias("score"))
+    rows = rows.withColumn("top", F.max("revision").over(Window.partitionBy("asked", "logical_key")))
+    best = top_k(rows.where(F.col("logical_key").isNull() | F.col("revision").eqNullSafe(F.col("top"))).select("asked", "key", "score"), k, "asked")
+    return alike.select("asked", F.explode("queries").alias("query")).join(best, "asked").select("query", "key", "score", "rank")
 
 
 class Best:

@@ -11,7 +11,7 @@ from ..functions import checksums, periods, rules
 from ..functions import text as tx
 from ..functions.vectors import cosine
 from ..operators import answering, chat, chunking, evaluation, facts, gate, identity, monitor, redaction, retrieval, sqlguard
-from ..session import cut_lineage, table
+from ..session import cut_lineage, table, written
 from ..sources import readers
 from ..streaming import ingest
 
@@ -405,8 +405,8 @@ def rrf_fused(t: Read) -> DataFrame:
 
 @query()
 def scoped_fused(t: Read) -> DataFrame:
-    """Questions that name a company, answered from its chunks: both arms fused, old versions dropped."""
-    asked = cut_lineage(chat.one_message_each(t("chat_messages")).where(F.col("text").startswith("Which risks")).select("id", "text"))
+    """Messages that name a company, answered from its chunks: both arms fused, old versions dropped."""
+    asked = written(chat.one_message_each(t("chat_messages")).where("text is not null").select("id", "text"))
     named = facts.companies_named(asked, t("collections")).withColumnRenamed("id", "query")
     return retrieval.fused_search(t("chunks"), asked.select(F.col("id").alias("query"), "text"), named)
 

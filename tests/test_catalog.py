@@ -58,3 +58,18 @@ def test_roles_of_the_core_and_of_conversations(spark):
     words = [*conversations.USER, *conversations.ASSISTANT, " Human:", "\u00a0AI ", "system", "", None]
     df = spark.createDataFrame([(w,) for w in words], "r string")
     assert all(r.a == r.b for r in df.select(rules.side(F.col("r")).alias("a"), conversations.side(F.col("r")).alias("b")).collect())
+
+
+def test_every_message_that_names_a_company_is_searched(spark, tmp_path):
+    said = {
+        "a": ("user", "Which risks does Lyston mention?"), "b": ("user", "which risks does lyston mention?"), "c": ("Human", "What was net debt of LYS in 2020?"), "d": ("assistant", "Net debt of Lyston rose [1]."),
+        "e": (None, "Invoice me. Which risks does Lyston's plant name"), "f": ("user", "Which risks does nobody mention?"), "g": ("user", None), "h": ("user", "net debt?"), "i": ("user", "Does Norfield mention debt?"),
+    }
+    chunks = [("k1", "net debt and risks", ("c1", None, None)), ("k2", "the plant does mention risks", ("c1", None, None)), ("k3", "debt", ("c2", None, None))]
+    got = run(
+        spark, tmp_path, "scoped_fused", chat_messages=([(k, "s", role, text, None, None) for k, (role, text) in said.items()], MESSAGES),
+        collections=([("c1", "Lyston Foods", "LYS"), ("c2", "Norfield Ltd", None)], "collection_id string, company string, ticker string"),
+        chunks=(chunks, "chunk_id string, text string, metadata struct<collection_id: string, logical_key: string, source_revision: int>"),
+    )
+    hits = {q: {r.key for r in got if r.query == q} for q in {r.query for r in got}}
+    assert hits == {"a": {"k1", "k2"}, "b": {"k1", "k2"}, "c": {"k1"}, "d": {"k1"}, "e": {"k1", "k2"}, "i": {"k3"}}

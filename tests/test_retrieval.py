@@ -182,3 +182,19 @@ def test_a_question_meets_only_the_chunks_of_its_company(spark):
         for n, (key, score) in enumerate(sorted(((key, round(s, 9)) for key, s in fused.items()), key=lambda x: (-x[1], x[0]))[:3], 1):
             want[q, n] = (key, score)
     assert got == want
+
+
+def test_the_cells_of_a_company_give_what_one_cell_gives(spark, monkeypatch):
+    dice = np.random.default_rng(9)
+    words = ["net", "debt", "rose", "of", "the", "plant", "again", "rare"]
+    say = lambda least, most: " ".join(dice.choice(words, dice.integers(least, most)))
+    rows = [(f"k{n:02}", say(0, 9), ("c1" if n % 4 else "c2", f"f{n % 7}" if n % 3 else None, int(dice.integers(0, 3)) if n % 5 else None)) for n in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, metadata struct<collection_id: string, logical_key: string, source_revision: int>")
+    asked = [(q, say(1, 6)) for q in range(40)] + [(40, "absent")]
+    questions = spark.createDataFrame(asked, "query bigint, text string")
+    companies = spark.createDataFrame([(q, "c2" if q % 8 == 1 else "c1") for q, _ in asked], "query bigint, collection_id string")
+    found = lambda: sorted(map(tuple, retrieval.fused_search(chunks, questions, companies, k=4).collect()))
+    whole = found()
+    monkeypatch.setattr(retrieval, "CHUNKS", 7)
+    monkeypatch.setattr(retrieval, "BLOCK", 5)
+    assert found() == whole and {q for q, *_ in whole} == set(range(40))
